@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, see
     ``most`` and ``taken`` is copies times size. The order depends on doc_id and seed alone; rows with equal doc_id are
     told apart by their size, and equal rows are taken in either order with the same totals. For several sources, ``source_size`` and
     ``target`` are sums over the document's sources. Sources are a small table (one row each on the driver); documents
-    are summed where they lie, and only one bin of ``BINS`` of each pattern is put in order.
+    are summed where they lie, and put in order within one of ``BINS`` bins of a pattern.
     """
     several = docs.schema[source].dataType.typeName() == "array"
     bin_, digest = _order(F.col("doc_id"), seed)
@@ -156,14 +156,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, see
     running = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = per_bin.withColumn("before", F.coalesce(F.sum("in_bin").over(running), F.lit(0))).select(F.col("pattern").alias("p"), F.col("bin").alias("b"), "in_bin", "before")
     placed = joined.join(bins, (F.col("pattern") == F.col("p")) & (F.col("bin") == F.col("b"))).drop("p", "b")
-    clear = placed.filter((F.col("before") + F.col("in_bin") <= F.col("rest")) | (F.col("before") >= F.col("rest"))).withColumn("more", F.col("before") < F.col("rest"))
-    cut = placed.filter((F.col("before") + F.col("in_bin") > F.col("rest")) & (F.col("before") < F.col("rest")))
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("size").over(Window.partitionBy("pattern", "bin").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, 0))
     # the document that crosses the mark is taken if that comes nearer to it
-    cut = cut.withColumn("more", F.col("before") + upto - F.col("size") / 2 <= F.col("rest"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when((F.col("whole") < most) & F.col("more"), 1).otherwise(0)).otherwise(0).cast("int")
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    out = clear.select(*columns, copies.alias("copies")).unionByName(cut.select(*columns, copies.alias("copies")))
+    placed = placed.withColumn("more", F.col("before") + upto - F.col("size") / 2 <= F.col("rest"))
+    placed = common.materialise(placed.select("doc_id", "pattern", "digest", "size", "source", "source_size", "target", "whole", "rest", (F.col("more") & (F.col("size") > 0) & (F.col("whole") < most)).alias("more")), "mix-taken")
+    # one document is added or dropped where that brings a pattern's total nearer to its mark
+    gaps = placed.groupBy("pattern").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap")).select(F.col("pattern").alias("p"), "gap")
+    swap = placed.join(gaps, F.col("pattern") == F.col("p")).filter((F.col("size") > 0) & (F.col("whole") < most) & (F.col("more") == (F.col("gap") < 0)))
+    off = F.abs(F.abs(F.col("gap")) - F.col("size"))
+    best = swap.filter(off < F.abs(F.col("gap"))).groupBy("pattern").agg(F.min_by(F.struct("digest", "size"), F.struct(off, "digest", "size")).alias("best"))
+    best = best.select(F.col("pattern").alias("p"), F.col("best.digest").alias("best_digest"), F.col("best.size").alias("best_size"))
+    placed = placed.join(best, F.col("pattern") == F.col("p"), "left")
+    flip = F.coalesce((F.col("digest") == F.col("best_digest")) & (F.col("size") == F.col("best_size")), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("more") != flip, 1).otherwise(0)).otherwise(0).cast("int")
+    out = placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
