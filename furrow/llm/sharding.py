@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation (operator 5).
 
 Documents are nodes and a shared link key (by default the digest of the text) ties them together; a key with n members
-stands for all pairs of them and is never written out as pairs. Labels are shards. Each round
+stands for all pairs of them and is never written out as pairs. Labels are shards; nodes start at a hash of their id,
+those of a key too large for one shard on as few shards as can hold it. Each round
 
 * every key counts its members by shard (summed before the shuffle, at most one row for each key, shard and task),
 * every document looks up the shard that holds most of its keys' other members and asks to move there,
@@ -40,15 +41,19 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: list[in
     """Labels after ``rounds`` rounds: (node, shard) of the nodes that have links.
 
     ``nodes``: node (unique, long or string). ``links``: (node, key), where nodes of one key are linked; a node may have
-    several keys. Keys with one member tie nothing. Nodes start at a hash of their id; ties go to the lower shard.
+    several keys. Keys with one member tie nothing. Ties go to the lower shard.
     """
     members = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "k")
     tied = links.join(members, F.col("key") == F.col("k")).drop("k")
-    start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     # what is moved together: documents of a key that fits into a shard ask as one, larger keys document by document
     whole = F.col("n") <= F.lit(max(1, min(capacity) // 8))
     ask_bin = F.pmod(F.when(whole, F.xxhash64("key", F.lit(3))).otherwise(F.xxhash64("node", F.lit(3))), F.lit(bins)).cast("int")
-    state = common.materialise(tied.select("node", "key", ask_bin.alias("ask_bin"), start.alias("shard")), "lp-0")
+    # a key that no shard can hold starts on as few shards as can
+    parts = F.ceil(F.col("n") / F.lit(max(1, min(capacity))))
+    few = F.pmod(F.xxhash64("key", F.lit(7)) + F.pmod(F.xxhash64("node", F.lit(7)), parts), F.lit(shards))
+    start = F.when(whole, F.pmod(F.xxhash64("node"), F.lit(shards))).otherwise(few).cast("int")
+    begun = tied.groupBy("node").agg(F.max_by(start, F.struct("n", "key")).alias("shard")).withColumnRenamed("node", "m")
+    state = common.materialise(tied.select("node", "key", ask_bin.alias("ask_bin")).join(begun, F.col("node") == F.col("m")).drop("m"), "lp-0")
     for k in range(rounds):
         load = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.countDistinct("node").alias("c")).collect()}
         quota = [max(0, capacity[s] - load.get(s, 0)) for s in range(shards)]
