@@ -6,9 +6,9 @@ coordinate is filled and two sets agree in a coordinate with the probability of
 concentration of independent draws. Work is about T log T plus the set's size, not T times the size.
 
 Bands of ``ROWS`` coordinates propose candidates. Exact copies (equal shingle sets) are one class from the start. In
-each bucket everything is compared with its least class first, on full sets; only buckets whose classes then still
-lie in different components compare those across components, by sketch in blocks and then on full sets. Components are
-found by iterated joins. No bucket, link or component is ever gathered in one place or written out as all pairs.
+each bucket everything is compared with its least class first, on full sets. Clusters of candidates that then still lie
+in different components compare those across components, block by block, by sketch and then on full sets. Components
+are found by iterated joins. No bucket, link or component is ever gathered in one place or written out as all pairs.
 
 A pair of similarity 0.8 misses all bands with probability below 3e-6.
 """
@@ -140,6 +140,11 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def set_key(data: bytes) -> bytes | None:
+    """The digest of a set; none of an empty one."""
+    return hashlib.blake2b(data, digest_size=16).digest() if data else None
+
+
 def _sketch_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the set; null if empty), bands."""
 
@@ -148,7 +153,7 @@ def _sketch_table(docs: DataFrame, width: int) -> DataFrame:
             for part in common.slices(batch, "text", 2 << 20):
                 flat, sizes = shingle_sets(texts_as_bytes(part, "text"), width)
                 ends = np.cumsum(sizes)
-                keys = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                keys = [set_key(flat[a:b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 bands = band_keys(sketches(flat, sizes))
                 listed = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), listed], names=["doc_id", "n_shingles", "set_key", "bands"])
@@ -156,8 +161,8 @@ def _sketch_table(docs: DataFrame, width: int) -> DataFrame:
     return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _full_sets(docs: DataFrame, width: int, sketch: bool = False) -> DataFrame:
-    """id, set (sorted 64-bit hashes as bytes), and on demand the sketch."""
+def _full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id, set (sorted 64-bit hashes as bytes), set_key, and sketch (16 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +170,10 @@ def _full_sets(docs: DataFrame, width: int, sketch: bool = False) -> DataFrame:
                 flat, sizes = shingle_sets(texts_as_bytes(part, "text"), width)
                 ends = np.cumsum(sizes)
                 sets = [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                more = [pa.array([x.tobytes() for x in sketches(flat, sizes)], pa.binary())] if sketch else []
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary()), *more], names=["id", "set", *["sketch"][: len(more)]])
+                short = (sketches(flat, sizes) >> np.uint64(48)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary()), pa.array(map(set_key, sets), pa.binary()), pa.array([x.tobytes() for x in short], pa.binary())], names=["id", "set", "set_key", "sketch"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, "id long, set binary" + ", sketch binary" * sketch)
+    return common.map_arrow(docs.select("doc_id", "text"), run, "id long, set binary, set_key binary, sketch binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -182,9 +187,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm. Each pair reads two sets; a set shared by many pairs is not gathered with them."""
-    left = sets.select(F.col("id").alias("_a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("_b"), F.col("set").alias("set_b"))
-    both = pairs.join(right, F.col("b") == F.col("_b")).drop("_b").join(left, F.col("a") == F.col("_a")).drop("_a")
+    left = sets.select(F.col("id").alias("_a"), F.col("set").alias("set_a")).hint("merge")
+    right = sets.select(F.col("id").alias("_b"), F.col("set").alias("set_b")).hint("merge")
+    both = pairs.join(left, F.col("a") == F.col("_a")).drop("_a").join(right, F.col("b") == F.col("_b")).drop("_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,49 +218,60 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket that the sketches don't rule out: (a, b), a < b.
+def _cross_links(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between different components of a cluster of candidates.
 
-    ``members``: key, id, comp, size, sketch. Large buckets are cut into blocks, and a task compares two blocks in arrays.
+    ``members``: cluster, id, comp, set, sketch. A cluster is cut into blocks, and a task compares two blocks: pairs of
+    different components whose sketches don't rule them out are verified on full sets, the likeliest first, until their
+    components are joined. So all pairs are decided, but only links that join components leave a task.
     """
-    block = 2048
-    per = Window.partitionBy("key").orderBy("id")
+    per = Window.partitionBy("cluster").orderBy("id")
     placed = members.withColumn("blk", F.floor((F.row_number().over(per) - 1) / block).cast("int"))
-    blocks = placed.groupBy("key", "blk").agg(F.collect_list(F.struct("id", "comp", "size", "sketch")).alias("rows"))
-    count = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blk")).withColumnRenamed("key", "k")
+    blocks = placed.groupBy("cluster", "blk").agg(F.collect_list(F.struct("id", "comp", "set", "sketch")).alias("rows"))
+    count = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blk")).withColumnRenamed("cluster", "c")
     # block i meets blocks i, i + 1, ...: one row of the pair's lower and higher block each
-    dealt = blocks.join(count, F.col("key") == F.col("k")).drop("k")
-    low = dealt.select("key", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("n_blk") - 1)).alias("j"), F.col("rows").alias("left"))
-    high = dealt.select(F.col("key").alias("k"), F.col("blk").alias("jj"), F.col("rows").alias("right"))
-    pairs = low.join(high, (F.col("key") == F.col("k")) & (F.col("j") == F.col("jj"))).select("key", "i", "j", "left", "right")
+    dealt = blocks.join(count, F.col("cluster") == F.col("c")).drop("c")
+    low = dealt.select("cluster", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("n_blk") - 1)).alias("j"), F.col("rows").alias("left"))
+    high = dealt.select(F.col("cluster").alias("c"), F.col("blk").alias("jj"), F.col("rows").alias("right"))
+    pairs = low.join(high, (F.col("cluster") == F.col("c")) & (F.col("j") == F.col("jj"))).select("i", "j", "left", "right")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(rows):
-            f = rows.flatten() if isinstance(rows, pa.ListArray) else rows
-            sk = np.stack([np.frombuffer(x, np.uint64) for x in f.field("sketch").to_pylist()])
-            return (*(np.array(f.field(c).to_pylist(), np.int64) for c in ("id", "comp", "size")), sk)
+    def arrays(rows) -> tuple:
+        sets = [np.frombuffer(x, np.uint64) for x in rows.field("set").to_pylist()]
+        sk = np.stack([np.frombuffer(x, np.uint16) for x in rows.field("sketch").to_pylist()])
+        ids, comps = (np.array(rows.field(c).to_pylist(), np.int64) for c in ("id", "comp"))
+        return ids, comps, np.fromiter(map(len, sets), np.int64, len(sets)), sk, sets
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                a_id, a_comp, a_size, a_sk = arrays(batch.column("left")[r].values)
-                b_id, b_comp, b_size, b_sk = arrays(batch.column("right")[r].values)
-                key = batch.column("key")[r].as_py()
+                same_block = batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
+                a_id, a_comp, a_size, a_sk, a_sets = left = arrays(batch.column("left")[r].values)
+                b_id, b_comp, b_size, b_sk, b_sets = left if same_block else arrays(batch.column("right")[r].values)
+                joined: dict[int, int] = {}
+
+                def find(c: int, joined: dict[int, int] = joined) -> int:
+                    while c in joined:
+                        c = joined[c]
+                    return c
+
                 found: list[tuple[int, int]] = []
-                bands_a, bands_b = band_keys(a_sk), band_keys(b_sk)
                 for x in range(len(a_id)):
-                    ok = (b_comp != a_comp[x]) & (b_id > a_id[x] if batch.column("i")[r].as_py() == batch.column("j")[r].as_py() else True)
-                    ok &= (10 * np.minimum(b_size, a_size[x]) >= 7 * np.maximum(b_size, a_size[x]))
+                    ok = (b_comp != a_comp[x]) & (100 * np.minimum(b_size, a_size[x]) >= percent * np.maximum(b_size, a_size[x]))
+                    if same_block:
+                        ok &= b_id > a_id[x]
                     y = np.flatnonzero(ok)
-                    if len(y):
-                        y = y[(b_sk[y] == a_sk[x]).mean(axis=1) >= LEAST_AGREEMENT]
-                    if len(y):  # once, in the first band that the two share
-                        shared = bands_b[y] == bands_a[x]
-                        y = y[bands_a[x][shared.argmax(axis=1)] == key]
-                    found += [(min(int(a_id[x]), int(b_id[z])), max(int(a_id[x]), int(b_id[z]))) for z in y]
+                    if not len(y):
+                        continue
+                    agree = (b_sk[y] == a_sk[x]).mean(axis=1)
+                    for z in y[np.argsort(-agree, kind="stable")[: int((agree >= LEAST_AGREEMENT).sum())]].tolist():
+                        p, q = find(int(a_comp[x])), find(int(b_comp[z]))
+                        if p != q and similar(a_sets[x], b_sets[z], percent):
+                            joined[max(p, q)] = min(p, q)
+                            found.append((int(a_id[x]), int(b_id[z])))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
-    return common.map_arrow(pairs, run, "a long, b long").distinct()
+    return common.map_arrow(pairs, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -273,28 +289,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = common.materialise(classes, "nd-classes")
     entries = classes.select("rep", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "leader")
-    shared = common.materialise(entries.join(buckets, F.col("key") == F.col("k")).select("key", "rep", "leader"), "nd-buckets")
-    pairs = common.materialise(shared.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "nd-pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    shared = entries.join(buckets.hint("merge"), F.col("key") == F.col("k")).filter("rep != leader")
+    pairs = common.materialise(shared.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "nd-pairs")
+    clusters = connected(pairs)
+    # texts meet the ids by a shuffle at any size; only these documents' sets are made
+    involved = clusters.select(F.col("node").alias("id")).hint("merge")
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, F.col("doc_id") == F.col("id"), "left_semi")
-    # equal ids with different sets: the class whose least document it is decides which set stands for it
-    sets = common.materialise(_full_sets(wanted, width).dropDuplicates(["id"]), "nd-sets")
+    # of rows with an equal id, the one whose set is the class's stands for it
+    made = _full_sets(wanted, width).join(classes.select(F.col("rep"), F.col("set_key").alias("sk")), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("sk")), "left_semi")
+    sets = common.materialise(made.dropDuplicates(["id"]).select("id", "set", "sketch"), "nd-sets")
     links = common.materialise(_verify(pairs, sets, percent), "nd-links")
     roots = connected(links)
 
-    member = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "leader", F.coalesce("root", "rep").alias("comp"))
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select(F.col("key").alias("k"))
-    # the leader has met all of its bucket already
-    open_ = common.materialise(member.join(mixed, F.col("key") == F.col("k")).filter("rep != leader").select("key", F.col("rep").alias("id"), "comp"), "nd-open")
-    if open_.head(1):
-        ids = open_.select(F.col("id").alias("i")).distinct()
-        again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("i"), "left_semi")
-        full = common.materialise(_full_sets(again, width, sketch=True).dropDuplicates(["id"]), "nd-open-sets")
-        met = open_.join(full.select(F.col("id").alias("i"), (F.octet_length("set") / 8).cast("long").alias("size"), "sketch"), F.col("id") == F.col("i")).drop("i")
-        more = common.materialise(_cross_pairs(met), "nd-cross")
-        extra = common.materialise(_verify(more, full, percent), "nd-cross-links")
-        if extra.head(1):
-            roots = connected(links.union(extra))
+    comps = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(roots, F.col("id") == F.col("node"), "left").select("id", "cluster", F.coalesce("root", "id").alias("comp"))
+    # a cluster of two has met already
+    mixed = comps.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select(F.col("cluster").alias("c"))
+    open_ = comps.join(mixed, F.col("cluster") == F.col("c"), "left_semi")
+    met = open_.join(sets.withColumnRenamed("id", "i").hint("merge"), F.col("id") == F.col("i")).drop("i")
+    extra = common.materialise(_cross_links(met, percent), "nd-cross-links")
+    if extra.head(1):
+        roots = connected(links.union(extra))
     root_of = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("sk"), F.coalesce("root", "rep").alias("root"))
     out = table.select("doc_id", "n_shingles", "set_key").join(root_of, F.col("set_key") == F.col("sk"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
