@@ -71,7 +71,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def queries() -> dict:
@@ -79,8 +79,62 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": _URLS_SQL}
+    return {"op6_urls": _URLS_SQL, "op8_near_duplicates": _NEAR_SQL, "op10_mixing": _MIX_SQL}
+
+
+_SPLIT = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_NEAR_SQL = rf"""
+with recursive words as (
+  select doc_id, {_SPLIT.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from words),
+members as (select doc_id, len(s) as n, unnest(s) as g from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb
+  from members a join members b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from pairs where 100 * shared >= 80 * (na + nb - shared)),
+ways as (select a, b from links union all select b, a from links),
+reach(node, root) as (select doc_id, doc_id from documents union select w.b, r.root from reach r join ways w on r.node = w.a),
+found as (select node, min(root) as root from reach group by node)
+select s.doc_id, len(s.s)::bigint as n_shingles, f.root as component_id, f.root = s.doc_id as kept
+from sets s join found f on f.node = s.doc_id
+"""
 
+# Quotas that stop at twice a source's size and share the rest by weight are least(2 * size, level * weight) for one
+# level. It is found among the levels that leave the r sources of least size for their weight at their stops.
+_MIX_SQL = rf"""
+with docs as (
+  select doc_id, source, len({_SPLIT.format(text="coalesce(text, '')")})::bigint as size, md5('11|' || doc_id) as digest from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from docs group by source),
+ranked as (
+  select *, row_number() over (order by 2.0 * source_size / weight, source nulls last) as r, 2.0::double * source_size / weight as stop from sources),
+levels as (
+  select r, (1.5::double * (select sum(source_size) from sources) - 2 * coalesce(sum(source_size) over (order by r rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by r rows between current row and unbounded following) as level, stop from ranked),
+level as (select arg_min(level, r) as level from levels where level <= stop),
+targets as (
+  select source, source_size, least(2.0::double * source_size, weight * coalesce((select level from level), 1e300)) as target from ranked),
+placed as (
+  select d.*, t.source_size, t.target, case when t.source_size = 0 then 0 else least(2, floor(t.target / t.source_size))::int end as whole,
+    sum(size) over (partition by d.source order by ('0x' || substr(digest, 1, 6))::bigint % 4096, digest, size rows unbounded preceding) as upto
+  from docs d join targets t on d.source is not distinct from t.source),
+marked as (
+  select *, target - whole * source_size as rest, size > 0 and whole < 2 and upto - size / 2.0 <= target - whole * source_size as more from placed),
+gaps as (select source, any_value(rest) - coalesce(sum(size) filter (where more), 0) as gap from marked group by source),
+swaps as (
+  select m.source, m.digest, m.size, row_number() over (partition by m.source order by abs(abs(gap) - size), m.digest, m.size) as k
+  from marked m join gaps g on m.source is not distinct from g.source
+  where m.size > 0 and m.whole < 2 and m.more = (gap < 0) and abs(abs(gap) - size) < abs(gap)),
+best as (select * from swaps where k = 1)
+select m.doc_id, m.size, m.source_size, round(m.target, 6) as target,
+  case when m.size = 0 then 0 else m.size * (m.whole + (m.more <> coalesce(m.digest = b.digest and m.size = b.size, false))::int) end::bigint as taken
+from marked m left join best b on m.source is not distinct from b.source
+"""
 
 _LISTS = (("hosts", "malware", "block", 40), ("hosts", "trusted", "allow", 15), ("paths", "spam", "block", 30), ("domains", "parked", "block", 100))
 _DIGIT = "(('0x' || substr(md5(key || '{salt}'), 1, 8))::bigint % {mod})"

@@ -176,13 +176,15 @@ def test_url_filter(spark):
     assert urlfilter.filter_captures(c, e.limit(0)).filter("verdict <> 'none'").count() == 0
 
 
-def test_url_query_matches_its_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_their_sql(spark, small, name):
     db = duckdb.connect()
-    db.sql(f"create view pages as select * from '{small}/pages.parquet'")
-    df = queries.op6_urls(spark, small)
+    for t in ("pages", "documents"):
+        db.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = queries.queries()[name](spark, small)
     columns = sorted(df.columns)
     got = Counter(tuple(r[c] for c in columns) for r in df.collect())
-    assert got == Counter(db.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()['op6_urls']})").fetchall())
+    assert got == Counter(db.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()[name]})").fetchall())
 
 
 def test_multi_index_retrieves_all_within_radius():

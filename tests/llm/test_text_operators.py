@@ -8,7 +8,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -246,9 +245,8 @@ def test_base_spans(spark, small):
 def test_lexer_propagates_constants():
     text = 'A = "q8WwEe77rrTt00"\nB = A\ndb_password = B\nprice = "q8WwEe77rrTt00"\nclientSecret = "Zx9" + "Yw8Vu7Ts6"\nauth_token: ${TOKEN}\napi_secret = changeme\n"private_key": "pK1234567890abc"\n'
     found = [text[s:e] for s, e in secretscan.lexed_spans(text)]
-    assert found == ["q8WwEe77rrTt00", "Yw8Vu7Ts6", "pK1234567890abc"] or found == ["q8WwEe77rrTt00", "pK1234567890abc"] or "q8WwEe77rrTt00" in found
+    assert found == ["q8WwEe77rrTt00", "Yw8Vu7Ts6", "pK1234567890abc"]
     assert text.index("q8WwEe77rrTt00") == secretscan.lexed_spans(text)[0][0]
-    assert not any("TOKEN" in x or x == "changeme" for x in found)
     assert secretscan.lexed_spans("The secret of the town: nobody knows; keys = many.") == []
 
 
@@ -263,4 +261,3 @@ def test_secret_frames(spark):
     assert all("hunter2" not in t and len(t) == n for n, t in red.items())
     assert secretscan.redact_secrets(df).columns == df.columns
     assert secretscan.secret_digests(df.limit(0)).count() == 0
-    assert isinstance(pa.array([1]), pa.Array)
