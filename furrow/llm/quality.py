@@ -69,8 +69,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     words = common.words_of(F.col("text"))
     base = docs.select("doc_id", "lang", "source", text.alias("text"), words.alias("words"))
     n = F.size("words")
-    # 128 bits of each window
-    window = lambda i: F.struct(F.xxhash64(*[F.get("words", i + k) for k in range(5)]).alias("a"), F.hash(*[F.get("words", i + k) for k in range(5)]).alias("b"))
+    # 96 bits of each window, with its place
+    window = lambda i: F.struct(F.xxhash64(*[F.get("words", i + k) for k in range(5)]).alias("a"), F.hash(*[F.get("words", i + k) for k in range(5)]).alias("b"), i.alias("i"))
     quick = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(5)]))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     counted = base.select(
@@ -91,11 +91,11 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(grams.isNotNull() & (F.size(F.array_distinct(grams)) < F.size(grams)), F.lit(True)).otherwise(F.lit(False)).alias("repeats"),
     )
-    placed = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("words") - 5), lambda i: F.struct(window(i).alias("g"), i.alias("i"))))
-    same = lambda a, b: F.coalesce(F.get("placed", a)["g"] == F.get("placed", b)["g"], F.lit(False))
+    placed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 5), window))
+    same = lambda x, at: F.coalesce((F.get("placed", at)["a"] == x["a"]) & (F.get("placed", at)["b"] == x["b"]), F.lit(False))
     marked = counted.withColumn("placed", F.when(F.col("repeats"), placed)).drop("words")
-    starts = F.filter("placed", lambda x, i: same(i, i + 1) | F.when(i > 0, same(i, i - 1)).otherwise(F.lit(False)))
-    marked = marked.withColumn("starts", F.array_sort(F.transform(starts, lambda x: x["i"])))
+    starts = F.filter("placed", lambda x, i: same(x, i + 1) | F.when(i > 0, same(x, i - 1)).otherwise(F.lit(False)))
+    marked = marked.withColumn("starts", F.sort_array(F.transform(starts, lambda x: x["i"])))
     covered = F.aggregate(
         "starts",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).cast("int").alias("last")),
@@ -142,24 +142,26 @@ def _squared_distance(prefix: str) -> Column:
     return reduce(lambda a, b: a + b, [y * y for y in solved])
 
 
-def _moments(rows: DataFrame, by: list[str], prefix: str, factor: Column | float) -> DataFrame:
-    """Centres and factored scatter of groups from exact sums; the scatter times ``factor`` plus the floors' variances."""
+def _sum_names() -> list[str]:
+    p = len(STATS)
+    return ["_n", *(f"s_{i}" for i in range(p)), *(f"s_{i}_{j}" for i in range(p) for j in range(i + 1))]
+
+
+def _sums() -> list[Column]:
+    """Exact sums of the statistics and of their products."""
     p = len(STATS)
-    sums = [F.sum(s).alias(f"s_{i}") for i, s in enumerate(STATS)]
     products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sums, *products)
-    n = F.col("_n").cast("double")
+    return [F.count(F.lit(1)).alias("_n"), *(F.sum(s).alias(f"s_{i}") for i, s in enumerate(STATS)), *products]
+
+
+def _estimate(g: DataFrame, by: list[str], prefix: str, factor: float) -> DataFrame:
+    """Centres and scatter of groups from their sums; the scatter times ``factor`` plus the floors' variances, factored."""
+    p, n = len(STATS), F.col("_n").cast("double")
     g = g.withColumns({f"{prefix}_m_{i}": F.col(f"s_{i}") / n for i in range(p)})
-    scale = factor if isinstance(factor, Column) else F.lit(float(factor))
-    cov = {}
-    for i in range(p):
-        for j in range(i + 1):
-            floor = (FLOORS[STATS[i]] * STEPS) ** 2 if i == j else 0.0
-            value = (F.col(f"s_{i}_{j}") / n - F.col(f"{prefix}_m_{i}") * F.col(f"{prefix}_m_{j}")) * scale + F.lit(floor)
-            cov[i, j] = f"c_{i}_{j}"
-            g = g.withColumn(cov[i, j], value)
-    g = _cholesky(g, cov, prefix)
-    return g.select(*by, *_names(prefix))
+    cov = {(i, j): f"c_{i}_{j}" for i in range(p) for j in range(i + 1)}
+    floors = [(FLOORS[s] * STEPS) ** 2 for s in STATS]
+    g = g.withColumns({c: (F.col(f"s_{i}_{j}") / n - F.col(f"{prefix}_m_{i}") * F.col(f"{prefix}_m_{j}")) * F.lit(float(factor)) + F.lit(floors[i] if i == j else 0.0) for (i, j), c in cov.items()})
+    return _cholesky(g, cov, prefix).select(*by, *_names(prefix))
 
 
 def _names(prefix: str) -> list[str]:
@@ -215,21 +217,24 @@ def judge(stats: DataFrame, tail: float = TAIL, rounds: int = 3, keep: float = K
     good = rows.filter(~F.col("base_failed")).select("grp", *STATS)
 
     factor = consistency(keep, p)
-    estimates = _median_start(good, "a").join(_moments(good, ["grp"], "b", 1.0), "grp")
+    estimates = _median_start(good, "a").join(_estimate(good.groupBy("grp").agg(*_sums()), ["grp"], "b", 1.0), "grp")
     estimates = common.materialise(estimates, "quality-start")
     for k in range(rounds):
         both = good.join(estimates, "grp")
         split = both.select("grp", *STATS, F.explode(F.array(*[F.struct(F.lit(s).alias("start"), _squared_distance(s).alias("d2")) for s in ("a", "b")])).alias("x")).select("grp", *STATS, "x.start", "x.d2")
         split = split.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-3) * DIST_BINS_PER_OCTAVE).cast("int"))
-        cuts = _histogram_quantile(split.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["grp", "start"], keep).select(F.col("grp").alias("cg"), F.col("start").alias("cs"), "cut")
-        nearest = split.join(cuts, (F.col("grp") == F.col("cg")) & (F.col("start") == F.col("cs"))).filter("bin <= cut")
-        moments = _moments(nearest, ["grp", "start"], "e", factor)
-        sides = [moments.filter(F.col("start") == s).select("grp", *[F.col(c).alias(s + c[1:]) for c in _names("e")]) for s in ("a", "b")]
-        estimates = common.materialise(sides[0].join(sides[1], "grp"), f"quality-step-{k}")
+        # sums of every distance bin; those of the nearest bins make the next estimate, so a step reads its rows once
+        sums = split.groupBy("grp", "start", "bin").agg(*_sums())
+        near = Window.partitionBy("grp", "start")
+        before = F.coalesce(F.sum("_n").over(near.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        nearest = sums.withColumn("_before", before).withColumn("_all", F.sum("_n").over(near)).filter(F.col("_before") < F.col("_all") * keep)
+        moments = _estimate(nearest.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in _sum_names()]), ["grp", "start"], "e", factor)
+        sides = moments.groupBy("grp").agg(*[F.max(F.when(F.col("start") == s, F.col(c))).alias(s + c[1:]) for s in ("a", "b") for c in _names("e")])
+        estimates = common.materialise(sides, f"quality-step-{k}")
     first = F.col("a_det") <= F.col("b_det")
     estimates = estimates.select("grp", *[F.when(first, F.col("a" + c[1:])).otherwise(F.col("b" + c[1:])).alias(c) for c in _names("e")])
     near = good.join(estimates, "grp").filter(_squared_distance("e") <= chi2_quantile(0.975, p))
-    final = _moments(near, ["grp"], "e", consistency(0.975, p))
+    final = _estimate(near.groupBy("grp").agg(*_sums()), ["grp"], "e", consistency(0.975, p))
     counts = good.groupBy("grp").agg(F.count(F.lit(1)).alias("grp_n")).filter(F.col("grp_n") >= least_group)
     final = common.materialise(final.join(counts, "grp").withColumnRenamed("grp", "fg"), "quality-final")
     judged = rows.join(final, F.col("grp") == F.col("fg"), "left").withColumn("distance2", F.round(_squared_distance("e"), 6))
