@@ -201,8 +201,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of (a, b) links reaches. Labels shrink by joins until none changes."""
-    edges = common.materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-edges")
+    """(node, root): the least node that each node of (a, b) links reaches.
+
+    Most links lie around a few hubs, the lower ends. Each higher end first goes to its least hub, and only links among
+    hubs remain; their labels shrink by joins until none changes.
+    """
+    lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+    links = common.materialise(links.select(lo, hi).filter("lo != hi").distinct(), "cc-links")
+    first = common.materialise(links.groupBy("hi").agg(F.min("lo").alias("hub")), "cc-hubs")
+    lows = links.select(F.col("lo").alias("low")).distinct()
+    across = links.join(first.withColumnRenamed("hi", "h"), F.col("hi") == F.col("h")).filter("lo != hub").select(F.col("hub").alias("a"), F.col("lo").alias("b"))
+    steps = first.join(lows, F.col("hi") == F.col("low"), "left_semi").select(F.col("hub").alias("a"), F.col("hi").alias("b"))
+    roots = _shrunk(across.union(steps).distinct()).withColumnRenamed("node", "h")
+    tops = lows.join(first, F.col("low") == F.col("hi"), "left_anti").select(F.col("low").alias("node"), F.col("low").alias("hub"))
+    nodes = first.select(F.col("hi").alias("node"), "hub").union(tops)
+    return common.materialise(nodes.join(roots, F.col("hub") == F.col("h"), "left").select("node", F.coalesce("root", "hub").alias("root")), "cc")
+
+
+def _shrunk(links: DataFrame) -> DataFrame:
+    """(node, root) of links, by taking the least label of all neighbours and then the label's own label."""
+    edges = common.materialise(links.union(links.select("b", "a")), "cc-edges")
     labels = common.materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "cc-0")
     k = 0
     while True:
@@ -210,7 +228,6 @@ def connected(links: DataFrame) -> DataFrame:
         at = labels.select(F.col("node").alias("n"), F.col("root").alias("r"))
         near = edges.join(at, F.col("b") == F.col("n")).groupBy(F.col("a").alias("n2")).agg(F.min("r").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("n2"), "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        # a root's own label leads further down
         step = lower.join(at, F.col("root") == F.col("n"), "left").select("node", "old", F.least("root", F.coalesce("r", "root")).alias("root"))
         step = common.materialise(step, f"cc-{k}")
         labels = step.select("node", "root")
