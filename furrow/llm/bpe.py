@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import common
-from .chunks import ChunkTable, emit, label_bytes
+from .chunks import ChunkTable, emit, flattened, label_bytes
 
 #: Where the public vocabulary files are, unless a caller names another folder.
 TOKENIZERS = os.environ.get("FURROW_TOKENIZERS", "/opt/tokenizers")
@@ -52,14 +52,14 @@ def byte_symbols() -> dict[str, int]:
 class MergeAutomaton:
     """Accepts exactly the BPE encodings; states are named by the token that leads to them."""
 
-    def __init__(self, base: dict[bytes, int], most_arcs: int = 2_000_000) -> None:
+    def __init__(self, base: dict[bytes, int], most_arcs: int = 300_000) -> None:
         self.ids = dict(base)
         self.labels: dict[int, bytes] = {i: b for b, i in base.items()}
         self.made: dict[int, int] = {i: -1 for i in base.values()}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.cut: dict[int, int] = {}
-        self.reach: dict[bytes, int] = {}
+        self.prefixes: dict[bytes, int] = dict(base)
         self.table: dict[int, bool] = {}
         self.most_arcs, self.gadgets = most_arcs, 0
 
@@ -68,7 +68,11 @@ class MergeAutomaton:
         self.cut[a << 32 | b] = self.gadgets
         self.left[c], self.right[c], self.made[c] = a, b, self.gadgets
         self.labels[c], self.ids[spelled] = spelled, c
-        self.reach[spelled[:2]] = max(self.reach.get(spelled[:2], 1), len(spelled))
+        self.prefixes[spelled] = c
+        for k in range(len(spelled) - 1, 1, -1):
+            if spelled[:k] in self.prefixes:
+                break
+            self.prefixes[spelled[:k]] = -1
         self.gadgets += 1
 
     def arc(self, t: int, u: int) -> bool:
@@ -99,32 +103,34 @@ class MergeAutomaton:
         if whole is not None:
             return [whole]
         n, at, last = len(word), 0, -1
-        ids, reach, arc = self.ids, self.reach, self.arc
+        prefixes, arc = self.prefixes, self.arc
         out: list[int] = []
-        steps: list[int] = []
+        stack: list[tuple[int, int, list]] = []
         dead: set[tuple[int, int]] = set()
-        size = min(n, reach.get(word[:2], 1))
+        fresh = True
         while at < n:
-            found = -1
-            while size:
-                u = ids.get(word[at : at + size])
-                if u is not None and (last < 0 or arc(last, u)) and (not dead or (at + size, u) not in dead):
-                    found = u
+            if fresh:  # tokens that the coming bytes begin with, the longest last
+                options, k = [], 1
+                while (u := prefixes.get(word[at : at + k])) is not None:
+                    if u >= 0:
+                        options.append((k, u))
+                    k += 1
+                    if at + k > n:
+                        break
+            fresh = False
+            while options:
+                k, u = options.pop()
+                if (last < 0 or arc(last, u)) and (not dead or (at + k, u) not in dead):
+                    stack.append((at, last, options))
+                    out.append(u)
+                    at, last, fresh = at + k, u, True
                     break
-                size -= 1
-            if found >= 0:
-                out.append(found)
-                steps.append(size)
-                at, last = at + size, found
-                size = min(n - at, reach.get(word[at : at + 2], 1))
-            else:
+            if not fresh:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
                 dead.add((at, last))
                 out.pop()
-                size = steps.pop()
-                at, last = at - size, out[-1] if out else -1
-                size -= 1
+                at, last, options = stack.pop()
         return out
 
 
@@ -142,7 +148,7 @@ def compile_merges(tokenizer_json: str) -> tuple[MergeAutomaton, dict[str, int]]
 class Codec:
     """Encodes and decodes texts in bulk; one lives in each Python worker."""
 
-    def __init__(self, tokenizer_json: str, most_chunks: int = 700_000) -> None:
+    def __init__(self, tokenizer_json: str, most_chunks: int = 150_000) -> None:
         self.automaton, self.special = compile_merges(tokenizer_json)
         self.split = regex.compile(SPLIT)
         self.special_bytes = {s.encode(): i for s, i in self.special.items()}
@@ -157,22 +163,28 @@ class Codec:
             labels[i] = s.encode()
         self.labels, self.decimals = label_bytes(labels), label_bytes([b"%d," % i for i in range(size)])
 
-    def _encode_chunks(self, chunks: list) -> list[list[int]]:
+    def _encode_chunks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         """A chunk is bytes that follow a space, or a 1-tuple of bytes that follow nothing, or a special token's id."""
         words, path, out = self.words, self.automaton.path, []
         for c in chunks:
             if isinstance(c, int):
                 out.append([c])
                 continue
+            text = c.decode() if isinstance(c, bytes) else c[0].decode()
+            core = text.rstrip(".,")
+            if core.isalpha() and max(core) < "\u0590":  # letters, with full stops and commas behind: the pattern's pieces are plain
+                pieces = [" " + core if isinstance(c, bytes) else core, *([text[len(core) :]] if len(core) < len(text) else ())]
+            else:
+                pieces = self.split.findall(" " + text if isinstance(c, bytes) else text)
             ids: list[int] = []
-            for w in self.split.findall((b" " + c if isinstance(c, bytes) else c[0]).decode()):
+            for w in pieces:
                 if (known := words.get(w)) is None:
-                    if len(words) >= 300_000:
+                    if len(words) >= 150_000:
                         words.clear()
                     known = words[w] = path(w.encode())
                 ids += known
             out.append(ids)
-        return out
+        return flattened(out)
 
     def _rows(self, text: bytes) -> np.ndarray:
         if self.at_special is not None and self.at_special.search(text):
@@ -213,16 +225,10 @@ def _is_utf8(x: bytes) -> bool:
     return True
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(tokenizer_json: str) -> Codec:
-    """This process's codec of a vocabulary; made once."""
+    """This worker's codec of a vocabulary."""
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(tokenizer_json)
-    return _codecs[key]
+    return common.held("bpe", key, lambda: Codec(tokenizer_json))
 
 
 def read_vocabulary(path: str) -> str:

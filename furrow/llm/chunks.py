@@ -1,14 +1,18 @@
 """A growing table from chunks of text to their token ids, looked up in bulk.
 
 Texts repeat their words, so a worker encodes each distinct chunk once and assembles texts from the table's rows.
-The table is emptied when it passes a stated number of chunks, so its memory is bounded.
+When a table passes a stated number of chunks a new one is begun, and the old one serves as its memory until the next
+change, so no more than two are held.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class _Index(dict):
@@ -34,12 +38,30 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+def flattened(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
+
+
+def merged(first: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of a where ``first`` is true and of b elsewhere, each in their order."""
+    lengths = np.zeros(len(first), np.int64)
+    lengths[first], lengths[~first] = a[1], b[1]
+    starts = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.int32)
+    flat[ragged(starts[first], a[1])] = a[0]
+    flat[ragged(starts[~first], b[1])] = b[0]
+    return flat, lengths
+
+
 class ChunkTable:
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most_chunks: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most_chunks: int = 400_000) -> None:
         self.encode, self.most_chunks = encode, most_chunks
         self._clear()
+        self.old = None
 
     def _clear(self) -> None:
+        self.old = (self.index, self.flat, self.starts, self.lengths) if hasattr(self, "index") else None
         self.index = _Index()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
@@ -47,21 +69,41 @@ class ChunkTable:
     def rows_of(self, chunks: Iterable, count: int) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, chunks), np.int64, count)
 
+    def _coded(self, fresh: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and their numbers; from the old table where it has them."""
+        if self.old is None:
+            return self.encode(fresh)
+        index, flat, starts, lengths = self.old
+        rows = np.fromiter(map(index.get, fresh, repeat(-1)), np.int64, len(fresh))
+        known = rows >= 0
+        new_ids, new_lengths = self.encode(list(compress(fresh, (~known).tolist())))
+        return merged(known, (flat[ragged(starts[rows[known]], lengths[rows[known]])], lengths[rows[known]]), (new_ids, new_lengths))
+
+    def rows_of_split(self, texts: pa.Array) -> list[np.ndarray]:
+        """Rows of the chunks between ASCII white space, text by text, each text's with that of ``None`` behind.
+
+        For encoders that part words at white space and before punctuation. Chunks are counted off in Arrow first, so that only the distinct ones of a batch are looked up.
+        """
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        offsets, values = split.offsets.to_numpy().astype(np.int64), split.values
+        coded = values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        rows = self.rows_of(distinct, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
+        return np.split(np.insert(rows, offsets[1:], self.index[None]), (offsets[1:] + np.arange(1, len(offsets)))[:-1])
+
     def _learn(self) -> None:
         fresh = self.index.fresh
         if not fresh:
             return
-        coded = self.encode(fresh)
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((x for ids in coded for x in ids), np.int32, int(lengths.sum()))
+        flat, lengths = self._coded(fresh)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.rows + len(coded) > len(self.starts):
+        while self.rows + len(lengths) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[self.rows : self.rows + len(coded)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.rows : self.rows + len(coded)] = lengths
-        self.used, self.rows = self.used + len(flat), self.rows + len(coded)
+        self.starts[self.rows : self.rows + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.rows : self.rows + len(lengths)] = lengths
+        self.used, self.rows = self.used + len(flat), self.rows + len(lengths)
         self.index.fresh = []
 
     def gather(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -48,17 +50,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/furrow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table cuts the lineage: later jobs neither repeat the work nor lose it with an executor.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows in an Arrow batch while an operator's own job runs: texts are long, and batches lie outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application; results not yet written need theirs."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/furrow-{spark.sparkContext.applicationId}")
@@ -84,7 +99,36 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package present on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with no_cycle_search():
+            yield from function(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(kind: str, key: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker from task to task; a worker keeps that of one operator at a time."""
+    if (kind, key) not in _held:
+        _held.clear()
+        gc.collect()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Without the search for reference cycles, which walks large tables again and again where no cycles are made."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ documents. Words are lower-cased, parted at white space and headed by the vocabu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -209,7 +210,7 @@ def train(labelled: DataFrame, docs_per_language: int = 150, most_chars: int = 2
 class Scorer:
     """Scores texts in bulk; keeps the log probabilities of words that it has met, up to a number of words."""
 
-    def __init__(self, model: LanguageModel, most_words: int = 1_000_000) -> None:
+    def __init__(self, model: LanguageModel, most_words: int = 300_000) -> None:
         self.model, self.table, self.most_words = model, PieceTable(model.pieces), most_words
         self._clear()
 
@@ -249,24 +250,12 @@ class Scorer:
         return best, score
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: LanguageModel) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability under equal priors.
 
     ``und`` and 0 where the text is null or has no letter, or the model has no language. Ties go to the language that
     sorts first. Other columns pass unchanged; columns with the names of the new ones are replaced. Nothing is shuffled.
     """
-    import uuid
-
     key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if f.name not in (prediction, score)]
@@ -274,7 +263,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", predicti
     schema = T.StructType([*keep, T.StructField(prediction, T.StringType(), False), T.StructField(score, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _scorer(key, shared.value)
+        s = common.held("langid", key, lambda: Scorer(shared.value))
         for batch in batches:
             for part in common.slices(batch, text):
                 best, posterior = s.predict(part.column(text).to_pylist())

@@ -19,21 +19,24 @@ ever read. Positions before a file are running sums of the manifest, one row a f
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .bpe import TOKENIZERS, read_vocabulary, texts_as_bytes
-from .chunks import ChunkTable
+from .bpe import TOKENIZERS, read_vocabulary
+from .chunks import ChunkTable, flattened, merged
 
 MAGIC = b"PFOR1\n"
 BLOCK = 1024
@@ -75,6 +78,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = 95.0) -> list[bytes]:
     """Blocks of ``BLOCK`` ids below 2 ** 32. ``percentile`` of a block's differences fit its width."""
     if not len(ids):
         return []
+    ids = ids.astype(np.int32 if ids.dtype == np.int32 else np.int64, copy=False)
     n_full, rest = divmod(len(ids), BLOCK)
     groups = [ids[: n_full * BLOCK].reshape(n_full, BLOCK)] if n_full else []
     if rest:
@@ -83,7 +87,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = 95.0) -> list[bytes]:
     for g in groups:
         n = g.shape[1]
         low = g.min(axis=1)
-        diff = (g - low[:, None]).astype(np.int64)
+        diff = g - low[:, None]
         at = min(n - 1, int(np.ceil(n * percentile / 100)) - 1)
         widths = _bits(np.partition(diff, at, axis=1)[:, at])
         coded: list[bytes] = [b""] * len(g)
@@ -126,7 +130,7 @@ class FileWriter:
 
     def __init__(self, sink) -> None:
         self.sink, self.at, self.n_ids = sink, len(MAGIC), 0
-        self.rest = np.zeros(0, np.int64)
+        self.rest = np.zeros(0, np.int32)
         self.docs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.starts: list[int] = []
@@ -182,31 +186,60 @@ def read_parts(source, size: int, most_ids: int = 1 << 20) -> Iterator[tuple[np.
         first = last
 
 
-_tables: dict[int, ChunkTable] = {}
+def _library_table(tokenizer_json: str, end_id: int = 2) -> ChunkTable:
+    """Chunks between white space, encoded by the tokenizers library; white space is dropped and parts words there.
 
-
-def _library_table(tokenizer_json: str) -> ChunkTable:
-    """Chunks between white space, encoded by the tokenizers library; white space is dropped and parts words there."""
-    key = hash(tokenizer_json)
-    if key not in _tables:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(tokenizer_json)
-        t.no_truncation()
-        t.no_padding()
-
-        def encode(chunks: list[bytes]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for i in range(0, len(chunks), 20_000):
-                out += [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks[i : i + 20_000]], add_special_tokens=False)]
-            return out
-
-        _tables.clear()
-        _tables[key] = ChunkTable(encode, most_chunks=1_000_000)
-    return _tables[key]
+    The chunk ``None`` is the end of a document.
+    """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_str(tokenizer_json)
+    t.no_truncation()
+    t.no_padding()
+
+    # words of lower-case letters pass the library's normalising and splitting whole; many go to its model in one call
+    plain = Tokenizer(t.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    suffix = json.loads(tokenizer_json)["model"]["end_of_word_suffix"]
+    vocabulary = t.get_vocab()
+    is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+    is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def plain_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, in order, and their numbers; the mark of a word's end parts them."""
+        parts, numbers = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            ids = np.array(plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(is_end[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            parts.append(ids)
+            numbers.append(np.diff(cuts, prepend=0))
+        return np.concatenate(parts), np.concatenate(numbers)
+
+    def encode(chunks: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters go to the library's model; all else through the whole library. ``None`` ends a document."""
+        words, rest, lists = [], [], []
+        for i, c in enumerate(chunks):
+            if c:
+                text = c.decode()
+                if text.isalpha() and (text.isascii() or (max(text) < "\u0590" and text == text.lower() and unicodedata.is_normalized("NFC", text))):
+                    words.append(text.lower())
+                    continue
+            rest.append(i)
+        for at in range(0, len(rest), 20_000):
+            part = [chunks[i] for i in rest[at : at + 20_000]]
+            coded = t.encode_batch_fast([(c or b"").decode() for c in part], add_special_tokens=False)
+            lists += [[end_id] if c is None else e.ids for c, e in zip(part, coded, strict=True)]
+        whole = np.ones(len(chunks), bool)
+        whole[rest] = False
+        return merged(whole, plain_ids(words), flattened(lists))
+
+    return ChunkTable(encode, most_chunks=200_000)
 
 
 def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bpe_49k.json", end_id: int = 2) -> DataFrame:
@@ -219,7 +252,8 @@ def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bp
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, writer, name, fs, first = _library_table(shared.value), None, "", None, 0
+        table = common.held("tokenstore", f"{end_id}|{hash(shared.value)}", lambda: _library_table(shared.value, end_id))
+        writer, name, fs, first = None, "", None, 0
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ids = np.array(part.column("doc_id").to_pylist(), np.int64)
@@ -229,10 +263,8 @@ def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bp
                     name = f"{at}/{uuid.uuid4().hex}.pfor"
                     sink = fs.open_output_stream(name)
                     writer, first = FileWriter(sink), int(ids[0])
-                split = [t.split() for t in texts_as_bytes(part, "text")]
-                flat, counts = table.gather([table.rows_of(c, len(c)) for c in split])
-                ends = np.cumsum(counts)
-                writer.add(ids, counts + 1, np.insert(flat, ends, end_id).astype(np.int64))
+                flat, counts = table.gather(table.rows_of_split(pc.fill_null(part.column("text"), "")))
+                writer.add(ids, counts, flat)
         if writer is not None:
             writer.close()
             sink.close()
