@@ -176,8 +176,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, see
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, a document taken twice as two equal rows, with the columns of ``docs``.
 
-    Expects one row per doc_id; documents without words are left out, as they can't fill a target.
+    Rows that agree in doc_id (or have none) are taken alike, as often as the mix takes any of them; documents without
+    words are left out, as they can't fill a target.
     """
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_d"), "copies")
-    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)

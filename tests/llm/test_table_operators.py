@@ -375,6 +375,7 @@ def test_mix_edges(spark):
     assert len(rows) == docs.count()
     assert all(r["taken"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
     assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.take_mix(docs).groupBy("doc_id").count().filter("count > 4").count() == 0
     several = spark.createDataFrame([(i, "a b c d", ["x", "y"] if i % 2 else ["x"]) for i in range(40)], "doc_id long, text string, source array<string>")
     taken = mixing.mix(several).agg(F.sum("taken")).collect()[0][0]
     assert taken == pytest.approx(1.5 * 160, abs=8)
