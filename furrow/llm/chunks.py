@@ -15,6 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord("."), ord(",")]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 class _Index(dict):
     """Gives a key that it has not met the next row, and keeps it in ``fresh`` until it is encoded."""
 
@@ -86,6 +92,16 @@ class ChunkTable:
         """
         split = pc.ascii_split_whitespace(texts.cast(pa.string()))
         offsets, values = split.offsets.to_numpy().astype(np.int64), split.values
+        if len(values):
+            # a full stop or comma behind an ASCII letter or digit is a chunk of its own: one more bound, no copy
+            bounds = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+            data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+            ends = bounds[1:]
+            tail = np.diff(bounds) >= 2
+            tail[tail] = _TAIL[data[ends[tail] - 1]] & _PLAIN[data[ends[tail] - 2]]
+            at = np.flatnonzero(tail)
+            values = pa.StringArray.from_buffers(len(values) + len(at), pa.py_buffer(np.insert(bounds, at + 1, ends[at] - 1)), values.buffers()[2])
+            offsets = offsets + np.concatenate([[0], np.cumsum(tail)])[offsets]
         coded = values.dictionary_encode()
         distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         rows = self.rows_of(distinct, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)

@@ -239,7 +239,7 @@ def _library_table(tokenizer_json: str, end_id: int = 2) -> ChunkTable:
         whole[rest] = False
         return merged(whole, plain_ids(words), flattened(lists))
 
-    return ChunkTable(encode, most_chunks=200_000)
+    return ChunkTable(encode, most_chunks=350_000)
 
 
 def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bpe_49k.json", end_id: int = 2) -> DataFrame:
@@ -255,7 +255,7 @@ def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bp
         table = common.held("tokenstore", f"{end_id}|{hash(shared.value)}", lambda: _library_table(shared.value, end_id))
         writer, name, fs, first = None, "", None, 0
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", 8 << 20):
                 ids = np.array(part.column("doc_id").to_pylist(), np.int64)
                 if writer is None:
                     fs, at = pa.fs.FileSystem.from_uri(folder)
@@ -273,7 +273,7 @@ def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bp
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "n_docs": [n_docs], "n_ids": [writer.n_ids], "first_doc": [first]})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.materialise(common.map_arrow(dealt, run, "file string, bytes long, n_docs long, n_ids long, first_doc long"), "pfor-manifest")
+    return common.materialise(common.map_arrow(dealt, run, "file string, bytes long, n_docs long, n_ids long, first_doc long"), "pfor-manifest", batch_rows=2500)
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
