@@ -21,7 +21,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 from furrow.operators import profile, sinks, validate  # noqa: E402
 from furrow.operators.generate import Generator  # noqa: E402
-from furrow.plans.classify import classify_column, meaning_column  # noqa: E402
+from furrow.plans.classify import classify_column, classify_frame  # noqa: E402
 from furrow.plans.plan import build_plan  # noqa: E402
 from furrow.schema import Column, DataType, ForeignKey, Schema, Table  # noqa: E402
 from furrow.sources.parquet import STAR_FOREIGN, read_table  # noqa: E402
@@ -79,12 +79,12 @@ def queries(spark: SparkSession) -> dict:
     generated = {"gen_10_columns": (_ten(), "items"), "gen_foreign_keys": (_fk(), "orders"), "gen_weighted_values": (_values(), "items"), "gen_distribution": (_normal(), "items")}
     out = {k: (lambda g=g, t=t: g.frame(spark, t)) for k, (g, t) in generated.items()}
     rows = _formatted(spark)
-    names = spark.range(ROWS // 20).select(F.col("id"), F.explode(F.array(*[F.lit(c) for c in TWENTY])).alias("c"))
+    names = spark.range(ROWS // 20).select(F.col("id"), F.lit("users").alias("table_name"), F.explode(F.array(*[F.lit(c) for c in TWENTY])).alias("column_name"), F.lit("text").alias("kind"))
     out |= {
         "format_sql": lambda: sinks.literal_rows(rows),
         "format_json": lambda: sinks.json_lines(rows),
         "format_csv": lambda: sinks.csv_lines(rows),
-        "classify_columns": lambda: names.select(meaning_column(F.col("c"), F.lit("users"), F.lit("text"))),
+        "classify_columns": lambda: classify_frame(names),
         "profile_numeric_lineitem": lambda: profile.numeric(read("lineitem"), "lineitem"),
         "profile_categorical_orders": lambda: profile.categorical(read("orders"), "orders"),
         "profile_categorical_documents": lambda: profile.categorical(read("documents"), "documents", ["lang", "source"]),

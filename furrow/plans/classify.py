@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import INTEGER_KINDS, NUMERIC_KINDS, Column, DataType, Schema, Table
@@ -188,3 +189,15 @@ def meaning_column(name: SparkColumn, table: SparkColumn, kind: SparkColumn) ->
     for k, meaning in FALLBACK.items():
         out = out.when(kind == k, meaning)
     return out.otherwise("Unknown")
+
+
+def classify_frame(columns: DataFrame) -> DataFrame:
+    """``columns`` (table_name, column_name, kind and any others) with their ``meaning``.
+
+    Names repeat over many schemas, so the rules run once for each distinct (table, column, kind).
+    """
+    keys = ["table_name", "column_name", "kind"]
+    distinct = columns.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    named = distinct.withColumn("meaning", meaning_column(F.col("_column_name"), F.col("_table_name"), F.col("_kind")))
+    same = F.col("table_name").eqNullSafe(F.col("_table_name")) & F.col("column_name").eqNullSafe(F.col("_column_name")) & F.col("kind").eqNullSafe(F.col("_kind"))
+    return columns.join(named, same, "left").drop(*[f"_{k}" for k in keys])

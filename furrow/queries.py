@@ -12,7 +12,7 @@ from . import ai, examples
 from .functions.draws import permutation
 from .operators import correlated, drift, profile, providers, sinks, validate
 from .operators.generate import Generator
-from .plans.classify import FALLBACK, GROUPS, RULES, TABLE_RULES, classify_schema, meaning_column
+from .plans.classify import FALLBACK, GROUPS, RULES, TABLE_RULES, classify_frame, classify_schema, meaning_column
 from .plans.plan import GenerationPlan, build_plan
 from .schema import Schema
 from .sources.parquet import STAR_FOREIGN, STAR_KEYS, read_table
@@ -128,7 +128,7 @@ def _column_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_COLUMNS, "table_name string, column_name string, kind string")
 
 
-_add("classify_columns", lambda s, d: _column_frame(s).withColumn("meaning", meaning_column(F.col("column_name"), F.col("table_name"), F.col("kind"))), _meaning_sql())
+_add("classify_columns", lambda s, d: classify_frame(_column_frame(s)), _meaning_sql())
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
