@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .bpe import texts_as_bytes
@@ -30,6 +29,8 @@ from .chunks import ragged
 
 BANDS, ROWS = 42, 6
 T = BANDS * ROWS
+#: Documents of a cluster that are compared with each other in one task, about.
+BLOCK = 400
 #: Pairs whose sketches agree in a lower share than this are not verified: a pair of similarity 0.8 is below it with probability under 1e-9.
 LEAST_AGREEMENT = 0.62
 
@@ -235,19 +236,16 @@ def _shrunk(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_links(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def _cross_links(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of a cluster of candidates.
 
-    ``members``: cluster, id, comp, set, sketch. A cluster is cut into blocks, and a task compares two blocks: pairs of
-    different components whose sketches don't rule them out are verified on full sets, the likeliest first, until their
-    components are joined. So all pairs are decided, but only links that join components leave a task.
+    ``members``: cluster, n_blk, blk, id, comp, set, sketch; a large cluster lies in ``n_blk`` blocks, and a task compares
+    two of them: pairs of different components whose sketches don't rule them out are verified on full sets, the
+    likeliest first, until their components are joined. So all pairs are decided, but only links that join components
+    leave a task.
     """
-    per = Window.partitionBy("cluster").orderBy("id")
-    placed = members.withColumn("blk", F.floor((F.row_number().over(per) - 1) / block).cast("int"))
-    blocks = placed.groupBy("cluster", "blk").agg(F.collect_list(F.struct("id", "comp", "set", "sketch")).alias("rows"))
-    count = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blk")).withColumnRenamed("cluster", "c")
     # block i meets blocks i, i + 1, ...: one row of the pair's lower and higher block each
-    dealt = blocks.join(count, F.col("cluster") == F.col("c")).drop("c")
+    dealt = members.groupBy("cluster", "blk").agg(F.first("n_blk").alias("n_blk"), F.collect_list(F.struct("id", "comp", "set", "sketch")).alias("rows"))
     low = dealt.select("cluster", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("n_blk") - 1)).alias("j"), F.col("rows").alias("left"))
     high = dealt.select(F.col("cluster").alias("c"), F.col("blk").alias("jj"), F.col("rows").alias("right"))
     pairs = low.join(high, (F.col("cluster") == F.col("c")) & (F.col("j") == F.col("jj"))).select("i", "j", "left", "right")
@@ -320,8 +318,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     comps = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(roots, F.col("id") == F.col("node"), "left").select("id", "cluster", F.coalesce("root", "id").alias("comp"))
     # a cluster of two has met already
-    mixed = comps.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select(F.col("cluster").alias("c"))
-    open_ = comps.join(mixed, F.col("cluster") == F.col("c"), "left_semi")
+    mixed = comps.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select(F.col("cluster").alias("c"), "n")
+    # members fall into blocks by a hash before they carry their sets, so that no cluster meets in one task
+    n_blk = F.ceil(F.col("n") / BLOCK).cast("int")
+    open_ = comps.join(mixed, F.col("cluster") == F.col("c")).select("cluster", "id", "comp", n_blk.alias("n_blk"), F.pmod(F.xxhash64("id"), n_blk).cast("int").alias("blk"))
     met = open_.join(sets.withColumnRenamed("id", "i").hint("merge"), F.col("id") == F.col("i")).drop("i")
     extra = common.materialise(_cross_links(met, percent), "nd-cross-links")
     if extra.head(1):

@@ -280,8 +280,9 @@ def near_docs():
     return docs
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates(spark, width):
+@pytest.mark.parametrize(("width", "block"), [(4, neardup.BLOCK), (5, 7)])
+def test_near_duplicates(spark, monkeypatch, width, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     docs = near_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit("clash"))
     got = {r["doc_id"]: r for r in neardup.near_duplicates(df, width, 80).collect()}
