@@ -5,8 +5,12 @@ stands for all pairs of them and is never written out as pairs. Labels are shard
 those of a key too large for one shard on as few shards as can hold it. Each round
 
 * every key counts its members by shard (summed before the shuffle, at most one row for each key, shard and task),
-* every document looks up the shard that holds most of its keys' other members and asks to move there,
-* each shard admits moves in the order of a hash of the key while it stays within its quota.
+* every document looks up the shard that holds most of its keys' members and asks to move there,
+* each pair of shards has a quota: as many moves as the target has room for, counting the moves that leave it in the same
+  round, so that full shards exchange documents; moves are admitted by gain, then by a hash of the key.
+
+Ties go by a hash of the key, the shard and the round: members of a key agree, and asks between two shards go both ways.
+A shard may hold half more than its capacity while labels move; the last step parts what is beyond it between keys.
 
 A last step makes the law exact: ``rows``, where shard sizes differ by one document at most. Within a shard, linked
 documents come first, key by key; what lies beyond the shard's capacity takes the free places of the other shards in
@@ -16,7 +20,9 @@ order, so it is first of all documents without links that move. A document's pla
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,18 +36,32 @@ def _pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
 
 
-def _admitted(asks: DataFrame, quota: list[int], bins: int = 1024) -> DataFrame:
-    """Bins of moves that each shard admits: (ask_to, ask_bin) while their running count is within the shard's quota."""
-    counts = asks.groupBy("ask_to", "ask_bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("ask_to").orderBy("ask_bin").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("upto", upto).filter(F.col("upto") <= _pick(quota, F.col("ask_to"))).select(F.col("ask_to").alias("ok_to"), F.col("ask_bin").alias("ok_bin"))
+def _flows(asked: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many of the ``asked`` moves (from, to) each pair of shards admits: what comes in is at most ``room`` and what goes out."""
+    flow = asked.astype(np.int64)
+    while True:
+        comes, may = flow.sum(axis=0), np.maximum(0, room + flow.sum(axis=1))
+        over = comes > may
+        if not over.any():
+            return flow
+        flow[:, over] = flow[:, over] * may[over] // comes[over]
+
+
+def _admitted(asks: DataFrame, flow: np.ndarray) -> DataFrame:
+    """The last rank that each pair of shards admits: (ok_from, ok_to, ok_rank), where the running count is within the pair's flow."""
+    quota = [(int(s), int(t), int(flow[s, t])) for s, t in zip(*np.nonzero(flow), strict=True)]
+    pairs = asks.sparkSession.createDataFrame(quota, "ok_from int, ok_to int, quota long")
+    counts = asks.groupBy("shard", "ask_to", "rank").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("shard", "ask_to").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    within = counts.withColumn("upto", upto).join(F.broadcast(pairs), (F.col("shard") == F.col("ok_from")) & (F.col("ask_to") == F.col("ok_to"))).filter(F.col("upto") <= F.col("quota"))
+    return within.groupBy("ok_from", "ok_to").agg(F.max("rank").alias("ok_rank"))
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: list[int], rounds: int = 3, bins: int = 1024) -> DataFrame:
-    """Labels after ``rounds`` rounds: (node, shard) of the nodes that have links.
+    """Labels after ``rounds`` rounds, and more while the cut falls by a thousandth: (node, shard) of the nodes that have links.
 
     ``nodes``: node (unique, long or string). ``links``: (node, key), where nodes of one key are linked; a node may have
-    several keys. Keys with one member tie nothing. Ties go to the lower shard.
+    several keys. Keys with one member tie nothing. The cut is the number of nodes that ask to move; at none, rounds end.
     """
     members = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "k")
     tied = links.join(members, F.col("key") == F.col("k")).drop("k")
@@ -54,18 +74,32 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, capacity: list[in
     start = F.when(whole, F.pmod(F.xxhash64("node"), F.lit(shards))).otherwise(few).cast("int")
     begun = tied.groupBy("node").agg(F.max_by(start, F.struct("n", "key")).alias("shard")).withColumnRenamed("node", "m")
     state = common.materialise(tied.select("node", "key", ask_bin.alias("ask_bin")).join(begun, F.col("node") == F.col("m")).drop("m"), "lp-0")
-    for k in range(rounds):
+    slack = max(1, min(capacity) // 2)
+    before = None
+    for k in count():
         load = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.countDistinct("node").alias("c")).collect()}
-        quota = [max(0, capacity[s] - load.get(s, 0)) for s in range(shards)]
+        room = np.array([capacity[s] + slack - load.get(s, 0) for s in range(shards)])
         votes = state.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("c"))
         lists = votes.groupBy("key").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "c")).alias("votes")).withColumnRenamed("key", "k")
         # at most one entry for each shard in a list
-        wishes = state.join(lists, F.col("key") == F.col("k")).select("node", "ask_bin", "shard", F.explode("votes").alias("v"))
-        sums = wishes.groupBy("node", "shard", "v.to").agg(F.sum(F.col("v.c")).alias("c"), F.min("ask_bin").alias("ask_bin"))
-        best = sums.groupBy("node", "shard").agg(F.max_by(F.struct(F.col("to"), F.col("ask_bin")), F.struct(F.col("c"), -F.col("to"))).alias("b"))
-        asks = common.materialise(best.select("node", "shard", F.col("b.to").alias("ask_to"), F.col("b.ask_bin").alias("ask_bin")), f"lp-asks-{k}")
-        ok = _admitted(asks.filter("ask_to != shard"), quota, bins)
-        moved = asks.join(ok, (F.col("ask_to") == F.col("ok_to")) & (F.col("ask_bin") == F.col("ok_bin")), "left")
+        wishes = state.join(lists, F.col("key") == F.col("k")).select("node", "key", "ask_bin", "shard", F.explode("votes").alias("v"))
+        sums = wishes.groupBy("node", "shard", "v.to").agg(F.sum(F.col("v.c")).alias("c"), F.min("ask_bin").alias("ask_bin"), F.min("key").alias("key"))
+        stay = F.max(F.when(F.col("to") == F.col("shard"), F.col("c")))
+        best = sums.groupBy("node", "shard").agg(F.max_by(F.struct("to", "ask_bin", "c"), F.struct(F.col("c"), F.xxhash64("key", "to", F.lit(k)), F.col("to"))).alias("b"), stay.alias("stay"))
+        # gains beyond 15 rank alike
+        rank = ((15 - F.least(F.lit(15), F.col("b.c") - F.col("stay"))) * bins + F.col("b.ask_bin")).cast("int")
+        asks = common.materialise(best.select("node", "shard", F.col("b.to").alias("ask_to"), rank.alias("rank")), f"lp-asks-{k}")
+        moves = asks.filter("ask_to != shard")
+        asked = np.zeros((shards, shards), np.int64)
+        for r in moves.groupBy("shard", "ask_to").agg(F.count(F.lit(1)).alias("c")).collect():
+            asked[r["shard"], r["ask_to"]] = r["c"]
+        cut = int(asked.sum())
+        if not cut or (k >= rounds and cut > 0.999 * before):
+            break
+        before = cut
+        ok = _admitted(moves, _flows(asked, room))
+        admitted = (F.col("shard") == F.col("ok_from")) & (F.col("ask_to") == F.col("ok_to")) & (F.col("rank") <= F.col("ok_rank"))
+        moved = asks.join(F.broadcast(ok), admitted, "left")
         moved = moved.select(F.col("node").alias("m"), F.when(F.col("ok_to").isNotNull(), F.col("ask_to")).otherwise(F.col("shard")).alias("to"))
         state = common.materialise(state.join(moved, F.col("node") == F.col("m")).select("node", "key", "ask_bin", F.col("to").alias("shard")), f"lp-{k + 1}")
     return state.groupBy("node").agg(F.min("shard").alias("shard"), F.min("key").alias("key"))

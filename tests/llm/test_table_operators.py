@@ -137,6 +137,19 @@ def test_shards(spark, small):
     assert len(set(hot)) <= -(-len(hot) // cap) + 3
 
 
+@pytest.mark.parametrize("copies", [2, 5, 20])
+def test_shards_where_all_rows_have_copies(spark, copies):
+    n = 4800
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % (n // copies)).cast("string")).alias("text"))
+    rows = sharding.shard_documents(docs).collect()
+    assert set(Counter(r["shard"] for r in rows).values()) == {n // 24}
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r["doc_id"] % (n // copies)].add(r["shard"])
+    whole = sum(len(v) == 1 for v in by_text.values())
+    assert whole >= len(by_text) - 72  # keys at the ends of shards and of free places
+
+
 def test_shards_of_few(spark):
     docs = odd_docs(spark)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
