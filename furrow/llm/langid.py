@@ -28,13 +28,17 @@ _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary_pieces(path: str, most_chars: int = 12) -> list[str]:
-    """The pieces of a sentencepiece file in lower case, without control and byte pieces and those beyond a length."""
+#: The white space at which ``str.split`` parts words, as a pattern for Spark.
+_GAP = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def vocabulary_pieces(path: str) -> list[str]:
+    """All pieces of a sentencepiece file, put in lower case, without control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return list(dict.fromkeys(p for p in found if len(p) <= most_chars and p == p.lower() and set(p) != {MARK}))
+    return list(dict.fromkeys(p.lower() for p in found))
 
 
 def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -156,24 +160,41 @@ def forward(words: list[str], table: PieceTable, probabilities: np.ndarray) -> n
         return np.log(alpha[last]) + scale
 
 
+def _parts(words: list[str], most_chars: int = 1 << 20) -> Iterator[slice]:
+    """Stretches of a list of words with a bounded number of characters; a longer word stands alone."""
+    start = total = 0
+    for i, w in enumerate(words):
+        if i > start and total + len(w) > most_chars:
+            yield slice(start, i)
+            start, total = i, 0
+        total += len(w)
+    if words:
+        yield slice(start, len(words))
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, table: PieceTable, rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
-    """Piece probabilities from counted words by expectation maximisation; the last one is for unknown characters."""
+    """Piece probabilities from counted words by expectation maximisation; the last one is for unknown characters.
+
+    Sums are kept as logarithms, so words may have any length.
+    """
     size = len(table.pieces) + 1
-    levels, first, last = _levels(words, table)
     p = np.full(size, 1.0 / size)
     for _ in range(rounds):
-        alpha = np.zeros(int(last[-1]) + 1 if len(last) else 0)
-        beta = np.zeros_like(alpha)
-        alpha[first], beta[last] = 1, 1
-        for begins, ends, ids in levels:
-            np.add.at(alpha, ends, alpha[begins] * p[ids])
-        for begins, ends, ids in reversed(levels):
-            np.add.at(beta, begins, p[ids] * beta[ends])
-        total = np.zeros(size)
-        weight = counts / np.maximum(alpha[last], 1e-300)
-        for begins, ends, ids in levels:
+        log_p, total = np.log(p), np.zeros(size)
+        for part in _parts(words):
+            levels, first, last = _levels(words[part], table)
+            alpha = np.full(int(last[-1]) + 1, -np.inf)
+            beta = alpha.copy()
+            alpha[first], beta[last] = 0, 0
+            for begins, ends, ids in levels:
+                starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])) if len(ends) else np.zeros(0, np.int64)
+                if len(starts):
+                    alpha[ends[starts]] = np.logaddexp.reduceat(alpha[begins] + log_p[ids], starts)
+            for begins, ends, ids in reversed(levels):  # a level has one arc at most from each node
+                beta[begins] = np.logaddexp(beta[begins], log_p[ids] + beta[ends])
+            begins, ends, ids = (np.concatenate(x) for x in zip(*levels, strict=True))
             word = np.searchsorted(first, ends, "right") - 1
-            total += np.bincount(ids, alpha[begins] * p[ids] * beta[ends] * weight[word], size)
+            total += np.bincount(ids, np.exp(alpha[begins] + log_p[ids] + beta[ends] - alpha[last][word]) * counts[part][word], size)
         p = (total + smooth) / (total + smooth).sum()
     return p
 
@@ -185,17 +206,17 @@ class LanguageModel:
     probabilities: np.ndarray
 
 
-def train(labelled: DataFrame, docs_per_language: int = 150, most_chars: int = 24, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", seed: int = 7) -> LanguageModel:
+def train(labelled: DataFrame, docs_per_language: int = 150, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", seed: int = 7) -> LanguageModel:
     """Fit a model on ``text`` and ``lang`` of at most ``docs_per_language`` documents of every language.
 
-    The documents are those of smallest hash of text and seed, taken whole; Spark counts their words, and the counts of
-    words up to ``most_chars`` characters are all that reaches the driver. Rows with a null or empty text or a null
+    The documents are those of smallest hash of text and seed, taken whole; Spark counts their words, of any
+    length, and the counts are all that reaches the driver. Rows with a null or empty text or a null
     lang are not learned from; without any row the model has no language.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(seed)), "text")
     known = labelled.select("lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     sample = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_language)
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter((F.length("word") > 0) & (F.length("word") <= most_chars))
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), _GAP)).alias("word")).filter(F.length("word") > 0)
     rows = words.groupBy("lang", "word").count().collect()
     pieces = vocabulary_pieces(path)
     table = PieceTable(pieces)

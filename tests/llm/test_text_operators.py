@@ -217,6 +217,28 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def test_languages_without_spaces(spark):
+    """Every run between white space is far longer than a word; ideographic spaces part words as well."""
+    rng = random.Random(5)
+    thai, kana = ["ภาษาไทย", "ประเทศ", "การศึกษา", "วันนี้", "อาหาร", "น้ำตก", "ที่", "และ"], ["ことば", "にほん", "です", "これは", "あります", "ところ", "から", "みなさん"]
+    run = lambda words: "".join(rng.choices(words, k=200))
+    english = "the quick brown fox and the lazy dog went to the river in the morning"
+    made = lambda: [(run(thai), "th"), ("\u3000".join([run(kana), run(kana)]), "ja"), (english, "en")]
+    model = langid.train(spark.createDataFrame([r for _ in range(5) for r in made()], "text string, lang string"))
+    assert model.languages == ["en", "ja", "th"]
+    told = langid.identify(spark.createDataFrame([r for _ in range(5) for r in made()], "text string, lang string"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in told)
+    table = langid.PieceTable(model.pieces)
+    long = langid.fit_pieces([langid.MARK + "ab" * 4000], np.array([1.0]), table, smooth=1e-9)
+    assert np.isfinite(long).all() and long[[i for i, p in enumerate(model.pieces) if set(p) <= {"a", "b"}]].sum() > 0.9
+
+
+def test_all_pieces_of_the_vocabulary():
+    pieces = set(langid.vocabulary_pieces(f"{langid.TOKENIZERS}/piece_bpe_32k.model"))
+    assert langid.MARK in pieces
+    assert any(len(p) > 12 for p in pieces)
+
+
 def plain_base(text):
     """The base patterns as they are written."""
     kinds = [
