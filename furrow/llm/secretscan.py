@@ -2,9 +2,10 @@
 
 Three fixed patterns give the base spans. The method adds spans of kind ``lexed``: a lexer reads the text as source or
 configuration syntax and yields pairs of a name and a literal (``name = "x"``, ``name: x``, ``"name": "x"``,
-``name="x"``, ``export NAME=x``, ``name := "a" + "b"``). A right side that is a bare name stands for a constant:
-the literals of that name, and of names it was set from, belong to the target as well. A literal is scored by the
-sensitivity of its target's name times how much it looks like a key, and its span is reported from ``THRESHOLD`` on.
+``name="x"``, ``export NAME=x``, ``name := "a" + "b"``), with string prefixes, triple quotes and continued lines. A name
+on the right side, alone or in a concatenation, stands for a constant: the literals of that name, and of names it was set
+from, belong to the target as well. A value is scored joined, by the sensitivity of its target's name times how much it
+looks like a key, and the spans of its pieces are reported from ``THRESHOLD`` on.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SENSITIVE = {
     "bearer": 0.8, "auth": 0.6, "key": 0.5, "salt": 0.5, "cookie": 0.5, "connectionstring": 0.8,
 }
 THRESHOLD = 0.45
+#: Pieces shorter than this are not reported beside a piece that reaches the threshold by itself.
+SCRAP = 4
 
 #: A literal's placeholders, which are nobody's secret.
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change.?me|your.*|example.*|todo|none|null|true|false|undefined|redacted)$")
@@ -42,12 +45,20 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "salt", "cookie", "connection")
 _ASSIGN_STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,99})(?P=quote)[ \t]{0,20}(?::=|=>|[:=](?!=))[ \t]{0,20}"""
-    r"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;)\]}#]+)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))*)"""
-)
-_PIECE = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`+]+""")
+_SIGN = re.compile(r":=|=>|[:=](?!=)")
+_BLANKS = re.compile(r"(?:[ \t]|\\\r?\n)*")
+_OPEN = re.compile(r"""((?:[rbuftRBUFT]{1,2}|u8|[LU@$])?)(\"{3}|'{3}|["'`])""")
+_STRINGS = {'"': re.compile(r'(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"'), "'": re.compile(r"(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"), "`": re.compile(r"[^`\n]*`")}
+_BARE = re.compile(r"""[^\s"'`,;)\]}#]+""")
+_PLUS = re.compile(r"(?:\s|\\\r?\n)*\+(?![+=])(?:\s|\\\r?\n)*")
+_PLUS_NEAR = re.compile(r"(?:[ \t]|\\\r?\n)*\+(?![+=])(?:\s|\\\r?\n)*")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
+_LEADING = re.compile(r"[^A-Za-z_]*")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+#: A formatted string that is one field has no literal.
+_FIELD = re.compile(r"\{[^{}]*\}\Z")
+#: Scoring looks at so many characters of a joined value; it says nothing new beyond far fewer.
+_SCORED = 1 << 10
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -69,25 +80,75 @@ def literal_score(value: str) -> float:
     return min(1.0, n / 16) * min(1.0, entropy / 3.0) * (0.4 + 0.2 * min(3, kinds))
 
 
-def lex(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], str | None]]:
-    """Pairs in a text: the target's name, its literal pieces (start, end, value), and the name on the right, if it is one."""
-    at = 0
-    while m := _PAIR.search(text, at):
-        start, end = m.span("value")
-        pieces, reference = [], None
-        for p in _PIECE.finditer(text, start, end):
-            raw = p[0]
-            if raw[0] in "\"'`":
-                if len(raw) > 2:
-                    pieces.append((p.start() + 1, p.end() - 1, raw[1:-1]))
-            elif _NAME.match(raw) and p.end() == end and not pieces:
-                reference = raw
-                pieces.append((p.start(), p.end(), raw))
-            else:
-                pieces.append((p.start(), p.end(), raw))
-        yield m["name"], pieces, reference
+Piece = tuple[int, int, str, bool]
+
+
+def _name_before(text: str, sign: int, at: int) -> str | None:
+    """The name, quoted or not, that ends before a sign and begins at ``at`` or later."""
+    end = sign
+    while end > at and (text[end - 1] in " \t" or (text[end - 1] == "\n" and text[max(at, end - 3) : end].replace("\r", "").endswith("\\\n"))):
+        end -= 1 if text[end - 1] in " \t" else 3 if text[end - 2] == "\r" else 2
+    quote = text[end - 1] if end > at and text[end - 1] in "\"'" else ""
+    end -= len(quote)
+    start = end
+    while start > at and text[start - 1] in _NAME_CHARS:
+        start -= 1
+    if quote:
+        if start == at or text[start - 1] != quote or not _NAME.match(text[start:end]):
+            return None
+        return text[start:end]
+    return text[_LEADING.match(text, start, end).end() : end] or None
+
+
+def _operand(text: str, at: int, unclosed: set[str]) -> tuple[Piece, int] | None:
+    """A string or bare word at a place and where it ends; ``unclosed`` keeps triple quotes that close nowhere further on."""
+    m = _OPEN.match(text, at)
+    if m:
+        prefix, quote = m.groups()
+        if len(quote) == 3:
+            close = -1 if quote in unclosed else text.find(quote, m.end())
+            while close > 0 and text[close - 1] == "\\" and (close - len(text[m.end() : close].rstrip("\\")) - m.end()) % 2:
+                close = text.find(quote, close + 1)
+            if close >= 0:
+                return (m.end(), close, text[m.end() : close], False), close + 3
+            unclosed.add(quote)
+            return (m.end(), m.end(), "", False), m.end()
+        if c := _STRINGS[quote].match(text, m.end()):
+            value = text[m.end() : c.end() - 1]
+            if "f" in prefix.lower() and _FIELD.match(value):
+                value = ""
+            return (m.end(), m.end() + len(value), value, False), c.end()
+    if not (m := _BARE.match(text, at)):
+        return None
+    end, value = m.end(), m[0]
+    if value.endswith("+") and _NAME.match(value[:-1]) and _OPEN.match(text, _BLANKS.match(text, end).end()):
+        end, value = end - 1, value[:-1]
+    return (at, end, value, bool(_NAME.match(value))), end
+
+
+def lex(text: str) -> Iterator[tuple[str, list[Piece]]]:
+    """Pairs in a text: the target's name, and the pieces of its value (start, end, value, whether it may be a name)."""
+    at, unclosed, sign = 0, set(), _SIGN.search(text)
+    while sign:
+        name = _name_before(text, sign.start(), at)
+        start = _BLANKS.match(text, sign.end()).end()
+        found = _operand(text, start, unclosed) if name else None
+        if not found:
+            sign = _SIGN.search(text, sign.end())
+            continue
+        pieces, end = [found[0]], found[1]
+        while True:
+            string = text[end - 1] in "\"'`"
+            plus = (_PLUS if string else _PLUS_NEAR).match(text, end)
+            more = _operand(text, plus.end(), unclosed) if plus else None
+            if not more or not (more[0][3] or _OPEN.match(text, plus.end())):
+                break
+            pieces.append(more[0])
+            end = more[1]
+        yield name, [p for p in pieces if p[2]]
         # a value that is itself a name may head a pair of its own ("export: name = ..."), so go on at the value
-        at = start if reference else end
+        at = start if len(pieces) == 1 and pieces[0][3] else end
+        sign = _SIGN.search(text, at)
 
 
 def _may_hold(lowered: str, stems: tuple[str, ...]) -> bool:
@@ -99,31 +160,82 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that belong to sensitive names, in order."""
     if not _may_hold(text.lower(), _STEMS):
         return []
-    own: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
-    sources: dict[str, set[str]] = defaultdict(set)
-    pairs = list(lex(text))
-    targets = {n for n, _, _ in pairs}
-    for name, pieces, reference in pairs:
-        if reference and reference in targets and reference != name:
-            sources[name].add(reference)
-        else:
-            own[name] += pieces
+    values: dict[str, list[list[Piece]]] = defaultdict(list)
+    for name, pieces in lex(text):
+        values[name].append(pieces)
+    for name, all_of in values.items():
+        values[name] = [[q for p in pieces for q in _names_in(p, values)] for pieces in all_of]
+    known: dict[str, str] = {}
+    reached: set[str] = set()
     found: set[tuple[int, int]] = set()
-    for name in targets:
+    for name in list(values):
         weight = name_score(name)
         if not weight:
             continue
         seen, todo = {name}, [name]
         while todo:
-            here = todo.pop()
-            for start, end, value in own.get(here, ()):
-                if weight * literal_score(value) >= THRESHOLD:
-                    found.add((start, end))
-            todo += [s for s in sources.get(here, ()) if s not in seen]
-            seen |= sources.get(here, set())
+            for pieces in values[todo.pop()]:
+                if len(pieces) == 1 and pieces[0][3] and pieces[0][2] in values and pieces[0][2] not in seen:
+                    seen.add(pieces[0][2])
+                    todo.append(pieces[0][2])
+                    continue
+                alone = {p for p in pieces if not (p[3] and p[2] in values) and weight * literal_score(p[2]) >= THRESHOLD}
+                if len(pieces) > 1:
+                    for p in pieces:
+                        if p[3] and p[2] in values:
+                            _resolve(p[2], values, known)
+                    if weight * literal_score(_join(pieces, values, known)) >= THRESHOLD:
+                        reached |= {p[2] for p in pieces if p[3] and p[2] in values}
+                        # a scrap beside a piece that is a secret by itself is none
+                        alone |= {p for p in pieces if not (p[3] and p[2] in values) and (not alone or len(p[2]) >= SCRAP)}
+                found.update((p[0], p[1]) for p in alone)
+    # all literals behind the names in values that were reported joined
+    todo = list(reached)
+    while todo:
+        for p in (p for pieces in values[todo.pop()] for p in pieces):
+            if not (p[3] and p[2] in values):
+                found.add((p[0], p[1]))
+            elif p[2] not in reached:
+                reached.add(p[2])
+                todo.append(p[2])
     return sorted(found)
 
 
+def _names_in(piece: Piece, values: dict) -> Iterator[Piece]:
+    """The names of a bare sum like ``A+B``, if all are known; else the piece itself."""
+    start, _, value, _ = piece
+    parts = value.split("+") if "+" in value else []
+    if parts and all(p in values for p in parts):
+        for p in parts:
+            yield start, start + len(p), p, True
+            start += len(p) + 1
+    else:
+        yield piece
+
+
+def _join(pieces: list[Piece], values: dict, known: dict[str, str]) -> str:
+    """A value's text; names not yet known (in a circle) are empty."""
+    return "".join(known.get(p[2], "") if p[3] and p[2] in values else p[2][:_SCORED] for p in pieces[:_SCORED])[:_SCORED]
+
+
+def _resolve(name: str, values: dict, known: dict[str, str]) -> None:
+    """Fill ``known`` for a name and those behind it: its most key-like value."""
+    if name in known:
+        return
+    todo, open_ = [name], set()
+    while todo:
+        here = todo[-1]
+        behind = [p[2] for pieces in values[here] for p in pieces if p[3] and p[2] in values]
+        fresh = [] if here in open_ else [n for n in behind if n not in known and n not in open_ and n != here]
+        open_.add(here)
+        if fresh:
+            todo += fresh
+            continue
+        todo.pop()
+        if here not in known:
+            known[here] = max((_join(pieces, values, known) for pieces in values[here]), key=lambda t: (literal_score(t), len(t)))
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind's place in ``KINDS``, end), sorted; ends exclude, places count code points."""
     if not text:

@@ -272,6 +272,27 @@ def test_lexer_propagates_constants():
     assert secretscan.lexed_spans("The secret of the town: nobody knows; keys = many.") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('signing_key = "aB3dE" + "xY9zK" + "q7LmP"', ["aB3dE", "xY9zK", "q7LmP"]),
+        ('PREFIX = "aB3dE"\npwd = PREFIX + "xY9zKq7LmP"', ["aB3dE", "xY9zKq7LmP"]),
+        ('TAIL = "xY9zKq7LmP"\npwd = "aB3dE" + TAIL', ["xY9zKq7LmP", "aB3dE"]),
+        ('A = "aB3dE9"\nB = "xY9zKq"\npwd = A+B', ["aB3dE9", "xY9zKq"]),
+        ('A = B + "x"\nB = A + "y"\npwd = A + B', []),
+        ('app.secret_key = b"q8WwEe77rrTt00"', ["q8WwEe77rrTt00"]),
+        ("secret_key = rb'q8WwEe77rrTt00'", ["q8WwEe77rrTt00"]),
+        ('secret_key = f"{settings.token}"', []),
+        ('secret_key = """q8WwEe77rrTt00"""', ["q8WwEe77rrTt00"]),
+        ("secret_key = \\\n    'q8WwEe77rrTt00'", ["q8WwEe77rrTt00"]),
+        ("secret_key" + " " * 60 + "=" + " " * 60 + '"q8WwEe77rrTt00"', ["q8WwEe77rrTt00"]),
+        ('secret_key = "q8WwEe7" +\n  "7rrTt00"', ["q8WwEe7", "7rrTt00"]),
+    ],
+)
+def test_lexer_joins_values(text, want):
+    assert [text[s:e] for s, e in secretscan.lexed_spans(text)] == want
+
+
 def test_secret_frames(spark):
     df = spark.createDataFrame([(1, None, 0, "a"), (2, "", 0, "b"), (3, "x password=hunter2xx y", 22, "c"), (3, "🙂 token: abcdef1", 16, None)], "doc_id long, text string, n_chars long, spans string")
     rows = {r["doc_id"]: r for r in secretscan.secret_digests(df).collect()}
