@@ -1,14 +1,13 @@
 """A growing table from chunks of text to their token ids, looked up in bulk.
 
 Texts repeat their words, so a worker encodes each distinct chunk once and assembles texts from the table's rows.
-When a table passes a stated number of chunks a new one is begun, and the old one serves as its memory until the next
-change, so no more than two are held.
+When a table passes a stated number of chunks, those met most often stay and the others are forgotten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from itertools import chain, compress, repeat
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -63,28 +62,28 @@ def merged(first: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndar
 class ChunkTable:
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most_chunks: int = 400_000) -> None:
         self.encode, self.most_chunks = encode, most_chunks
-        self._clear()
-        self.old = None
-
-    def _clear(self) -> None:
-        self.old = (self.index, self.flat, self.starts, self.lengths) if hasattr(self, "index") else None
         self.index = _Index()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lengths, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.starts, self.lengths, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.uses = np.zeros(1 << 14, np.int32)
+
+    def _shrink(self) -> None:
+        """Keep the chunks met most often (twice at least), at most half of the bound; forget the rest."""
+        uses = self.uses[: self.rows]
+        least = max(2, int(np.partition(uses, -(self.most_chunks // 2))[-(self.most_chunks // 2)]) + 1)
+        kept = np.flatnonzero(uses >= least)
+        names = compress(self.index, (uses >= least).tolist())
+        index = _Index()
+        dict.update(index, zip(names, range(len(kept)), strict=True))
+        flat, lengths = self.flat[ragged(self.starts[kept], self.lengths[kept])], self.lengths[kept]
+        self.index, self.flat, self.used = index, np.concatenate([flat, np.zeros(1 << 16, np.int32)]), len(flat)
+        self.rows, room = len(kept), np.zeros(1 << 14, np.int32)
+        self.lengths, self.uses = np.concatenate([lengths, room]), np.concatenate([uses[kept] // 2, room])
+        self.starts = np.concatenate([np.cumsum(lengths, dtype=np.int64) - lengths, room.astype(np.int64)])
 
     def rows_of(self, chunks: Iterable, count: int) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, chunks), np.int64, count)
 
-    def _coded(self, fresh: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, one after the other, and their numbers; from the old table where it has them."""
-        if self.old is None:
-            return self.encode(fresh)
-        index, flat, starts, lengths = self.old
-        rows = np.fromiter(map(index.get, fresh, repeat(-1)), np.int64, len(fresh))
-        known = rows >= 0
-        new_ids, new_lengths = self.encode(list(compress(fresh, (~known).tolist())))
-        return merged(known, (flat[ragged(starts[rows[known]], lengths[rows[known]])], lengths[rows[known]]), (new_ids, new_lengths))
-
     def rows_of_split(self, texts: pa.Array) -> list[np.ndarray]:
         """Rows of the chunks between ASCII white space, text by text, each text's with that of ``None`` behind.
 
@@ -111,11 +110,11 @@ class ChunkTable:
         fresh = self.index.fresh
         if not fresh:
             return
-        flat, lengths = self._coded(fresh)
+        flat, lengths = self.encode(fresh)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.rows + len(lengths) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[self.rows : self.rows + len(lengths)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[self.rows : self.rows + len(lengths)] = lengths
@@ -126,13 +125,14 @@ class ChunkTable:
         """The ids of texts, given each text's rows: all ids one text after the other, and every text's number of ids."""
         self._learn()
         every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        lengths = self.lengths[every]
+        lengths = self.lengths[every].astype(np.int64)
+        self.uses[: self.rows] += np.bincount(every, minlength=self.rows).astype(np.int32)
         ids = self.flat[ragged(self.starts[every], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         counts = np.diff(ends[bounds])
         if self.rows > self.most_chunks:
-            self._clear()
+            self._shrink()
         return ids, counts
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -96,12 +97,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package present on the executors."""
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, holds: str = "") -> DataFrame:
+    """``mapInArrow`` with this package present on the executors. ``holds``: the operator whose ``held`` tables the function needs."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with no_cycle_search():
+        with no_cycle_search(), room_for(holds):
             yield from function(batches)
 
     return df.mapInArrow(run, schema)
@@ -113,12 +114,34 @@ _held: dict[tuple, object] = {}
 def held(kind: str, key: str, make: Callable[[], object]) -> object:
     """What an operator keeps in a Python worker from task to task; a worker keeps that of one operator at a time."""
     if (kind, key) not in _held:
-        _held.clear()
-        gc.collect()
+        if _held:
+            let_go()
         _held[kind, key] = make()
     return _held[kind, key]
 
 
+@contextmanager
+def room_for(holds: str) -> Iterator[None]:
+    """A task's run in a worker: without what other operators held there, and without spare Arrow memory afterwards."""
+    if any(kind != holds for kind, _ in _held):
+        let_go()
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def let_go() -> None:
+    """Drop what is held and give its memory back to the system, for the next operator in this worker."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @contextmanager
 def no_cycle_search() -> Iterator[None]:
     """Without the search for reference cycles, which walks large tables again and again where no cycles are made."""
@@ -153,11 +176,30 @@ def words_of(text: Column) -> Column:
 
 
 def n_words_of(text: Column) -> Column:
-    """The number of words, without building the array of all of them twice."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}$", "")
+    """The number of words, without building the array of all of them twice. (``$`` would also match before a last line end like U+0085.)"""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}\z", "")
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_GAP))).cast("long")
 
 
+def partitions_for(df: DataFrame, most_bytes: int = 64 << 20) -> int:
+    """Partitions for a shuffle of whole rows: the session's number, or more if the plan's size in bytes, where known, asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // most_bytes) if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(50_000, wanted))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that ``df`` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def with_position(df: DataFrame, keys: list[str], order: list[Column], salt: Column, name: str, salts: int = 256) -> DataFrame:
     """Number the rows of every key from 0 without gaps, in ``salts`` pieces each, so that no key meets in one task.
 
