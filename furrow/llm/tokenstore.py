@@ -9,7 +9,8 @@ A file holds documents in ascending order of their id:
   little-endian words, then the exceptions' positions (2 bytes each) and high parts (4 bytes each). The width is that of
   a stated percentile of the block's differences; larger ones keep their low bits in place and are listed as exceptions.
 * The document table has every document's id (8 bytes) and number of ids (8 bytes). The block starts are byte offsets
-  (8 bytes each), so that a reader can seek to the block that holds any position.
+  (8 bytes each), so that a reader can seek to the block that holds any position. Behind them is one byte for each
+  document, 1 where its id is null (and written as 0); such documents come last.
 * The footer has the numbers of documents, ids and blocks and the offset of the document table (8 bytes each), then magic.
 
 Rows are dealt by ranges of the document id, and each task writes one file; its name and totals come back as one row
@@ -132,6 +133,7 @@ class FileWriter:
         self.sink, self.at, self.n_ids = sink, len(MAGIC), 0
         self.rest = np.zeros(0, np.int32)
         self.docs: list[np.ndarray] = []
+        self.nulls: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.starts: list[int] = []
         sink.write(MAGIC)
@@ -142,8 +144,9 @@ class FileWriter:
             self.at += len(b)
             self.sink.write(b)
 
-    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, nulls: np.ndarray | None = None) -> None:
         self.docs.append(doc_ids.astype("<i8"))
+        self.nulls.append(np.zeros(len(doc_ids), "u1") if nulls is None else nulls.astype("u1"))
         self.counts.append(counts.astype("<i8"))
         self.n_ids += len(ids)
         self.rest = np.concatenate([self.rest, ids])
@@ -157,11 +160,12 @@ class FileWriter:
         docs, counts = (np.concatenate([*x, np.zeros(0, "<i8")]) for x in (self.docs, self.counts))
         for x in (docs, counts, np.array(self.starts, "<i8")):
             self.sink.write(x.astype("<i8").tobytes())
+        self.sink.write(np.concatenate([*self.nulls, np.zeros(0, "u1")]).tobytes())
         self.sink.write(FOOTER.pack(len(docs), self.n_ids, len(self.starts), self.at, MAGIC))
 
 
-def read_parts(source, size: int, most_ids: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents of a file, some at a time: ids of documents, numbers of ids, and all their ids.
+def read_parts(source, size: int, most_ids: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of a file, some at a time: ids of documents, numbers of ids, all their ids, and whether documents' ids are null.
 
     ``source`` has ``read_at(n, offset)``. A part has about ``most_ids`` ids; a longer document stands alone.
     """
@@ -169,6 +173,7 @@ def read_parts(source, size: int, most_ids: int = 1 << 20) -> Iterator[tuple[np.
     if magic != MAGIC or source.read_at(len(MAGIC), 0) != MAGIC:
         raise ValueError("not a file of this format, or cut short")
     numbers = np.frombuffer(source.read_at(8 * (2 * n_docs + n_blocks), table), "<i8")
+    nulls = np.frombuffer(source.read_at(n_docs, table + 8 * (2 * n_docs + n_blocks)), "u1").astype(bool)
     docs, counts, starts = numbers[:n_docs], numbers[n_docs : 2 * n_docs], np.append(numbers[2 * n_docs :], table)
     ends = np.cumsum(counts)
     first = 0
@@ -182,7 +187,7 @@ def read_parts(source, size: int, most_ids: int = 1 << 20) -> Iterator[tuple[np.
             data = source.read_at(int(starts[b1] - starts[b0]), int(starts[b0]))
             held = min(n_ids, b1 * BLOCK) - b0 * BLOCK
             ids = decode_blocks(data, starts[b0:b1] - starts[b0], held)[begin - b0 * BLOCK : end - b0 * BLOCK]
-        yield docs[first:last], counts[first:last], ids
+        yield docs[first:last], counts[first:last], ids, nulls[first:last]
         first = last
 
 
@@ -243,42 +248,46 @@ def _library_table(tokenizer_json: str, end_id: int = 2) -> ChunkTable:
 
 
 def write_files(docs: DataFrame, folder: str, path: str = f"{TOKENIZERS}/word_bpe_49k.json", end_id: int = 2) -> DataFrame:
-    """Encode ``text`` and write files into ``folder``; the manifest, materialised: file, bytes, n_docs, n_ids, first_doc.
+    """Encode ``text`` and write files into ``folder``; the manifest, materialised: file, bytes, n_docs, n_ids and where its first document stands in the order.
 
-    Null and empty texts have the end id alone. Rows with a null doc_id are an error, since a file orders by it.
-    Rows with equal doc_id are kept and ordered by their text. Other columns are not read. An empty table writes no file.
+    Null and empty texts have the end id alone. Rows with a null doc_id come last. Rows with equal doc_id are kept, in the
+    order of a hash of their text. Other columns are not read. An empty table writes no file.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.held("tokenstore", f"{end_id}|{hash(shared.value)}", lambda: _library_table(shared.value, end_id))
-        writer, name, fs, first = None, "", None, 0
+        writer, name, fs, first = None, "", None, None
         for batch in batches:
             for part in common.slices(batch, "text", 8 << 20):
-                ids = np.array(part.column("doc_id").to_pylist(), np.int64)
+                doc = part.column("doc_id")
+                ids, nulls = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)
                 if writer is None:
                     fs, at = pa.fs.FileSystem.from_uri(folder)
                     fs.create_dir(at, recursive=True)
                     name = f"{at}/{uuid.uuid4().hex}.pfor"
                     sink = fs.open_output_stream(name)
-                    writer, first = FileWriter(sink), int(ids[0])
+                    writer, first = FileWriter(sink), (bool(nulls[0]), int(ids[0]), part.column("mark")[0].as_py())
                 flat, counts = table.gather(table.rows_of_split(pc.fill_null(part.column("text"), "")))
-                writer.add(ids, counts, flat)
+                writer.add(ids, counts, flat, nulls)
         if writer is not None:
             writer.close()
             sink.close()
             size = fs.get_file_info(name).size
             n_docs = sum(map(len, writer.docs))
-            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "n_docs": [n_docs], "n_ids": [writer.n_ids], "first_doc": [first]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "n_docs": [n_docs], "n_ids": [writer.n_ids], "first_null": [first[0]], "first_doc": [first[1]], "first_mark": [first[2]]})
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.materialise(common.map_arrow(dealt, run, "file string, bytes long, n_docs long, n_ids long, first_doc long"), "pfor-manifest", batch_rows=2500)
+    # by ranges of id and a hash of the text, so that an id with very many rows is parted as well
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    dealt = keyed.repartitionByRange(common.partitions_for(docs), *order).sortWithinPartitions(*order, "text")
+    return common.materialise(common.map_arrow(dealt, run, "file string, bytes long, n_docs long, n_ids long, first_null boolean, first_doc long, first_mark long", holds="tokenstore"), "pfor-manifest", batch_rows=2500)
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    before = Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_null", "first_doc", "first_mark", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("file", "bytes", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +296,12 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 fs, _ = pa.fs.FileSystem.from_uri(folder)
                 at = f["before"]
                 with fs.open_input_file(f["file"]) as source:
-                    for docs, counts, ids in read_parts(source, f["bytes"]):
+                    for docs, counts, ids, nulls in read_parts(source, f["bytes"]):
                         data = ids.astype("<u4").tobytes()
                         ends = np.cumsum(counts)
                         cuts = [0, *(4 * ends).tolist()]
                         crc = [zlib.crc32(data[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=nulls), pa.array(at + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         at += int(ends[-1]) if len(ends) else 0
 
     n = max(1, min(10_000, manifest.count()))
