@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, neardup, quality, secretscan, sharding, tokenstore, urlfilter
+from . import ann, bpe, common, langid, mixing, neardup, quality, secretscan, sharding, tokenstore, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,21 +38,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against dated lists; fetch times and lists follow from page ids and hosts by fixed rules."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    captures = pages.withColumn("fetch_time", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(366)) * 86400 + F.pmod(F.col("page_id") * 104729, F.lit(86400))))
-    host, segment = urlfilter.host_of(F.col("url")), urlfilter.segment_of(F.col("url"))
-    digit = lambda key, salt, mod: F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit(salt))), 1, 8), 16, 10).cast("long"), F.lit(mod))
-    hosts = pages.select(host.alias("key")).filter("key is not null").distinct()
-    paths = pages.select(F.concat(host, segment).alias("key")).filter(host.isNotNull() & (segment != "")).distinct()
-    domains = hosts.select(F.regexp_extract("key", r"([^.]+\.[^.]+)$", 1).alias("key")).filter("key != ''").distinct()
-    made = []
-    for keys, name, verdict, share in ((hosts, "malware", "block", 40), (hosts, "trusted", "allow", 15), (paths, "spam", "block", 30), (domains, "parked", "block", 100)):
-        chosen = keys.filter(digit(F.col("key"), name, 100) < share)
-        for step, action, first, span in ((0, "add", 0, 120), (1, "remove", 120, 120), (2, "add", 240, 126)):
-            day = F.lit(first) + digit(F.col("key"), f"{name}{step}", span)
-            made.append(chosen.select(F.lit(name).alias("list"), "key", F.lit(verdict).alias("verdict"), F.lit(action).alias("action"), F.timestamp_seconds(F.lit(1704067200) + day * 86400).alias("at")))
-    entries = made[0]
-    for m in made[1:]:
-        entries = entries.unionByName(m)
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(366)) * 86400 + F.pmod(F.col("page_id") * 104729, F.lit(86400)))
+    captures = common.materialise(pages.withColumn("fetch_time", fetched), "op6-captures")
+    digit = lambda key, salt, mod: F.pmod(F.conv(F.substring(F.md5(F.concat(key, salt)), 1, 8), 16, 10).cast("long"), F.lit(mod))
+    sites = captures.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.segment_of(F.col("url")).alias("segment")).filter("host is not null")
+    path, domain = F.when(F.col("segment") != "", F.concat("host", "segment")), F.regexp_extract("host", r"([^.]+\.[^.]+)\z", 1)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (("hosts", F.col("host")), ("paths", path), ("domains", domain))])
+    keys = sites.select(F.explode(kinds).alias("x")).select("x.*").filter("key != ''").distinct()
+    lists = F.array(*[F.struct(F.lit(k).alias("of"), F.lit(n).alias("list"), F.lit(v).alias("verdict"), F.lit(s).alias("share")) for k, n, v, s in _LISTS])
+    chosen = keys.withColumn("x", F.explode(lists)).select("kind", "key", "x.*").filter("kind = of").filter(digit(F.col("key"), F.col("list"), 100) < F.col("share"))
+    steps = F.array(*[F.struct(F.lit(a).alias("action"), (F.lit(first) + digit(F.col("key"), F.concat("list", F.lit(str(i))), span)).alias("day")) for i, a, first, span in ((0, "add", 0, 120), (1, "remove", 120, 120), (2, "add", 240, 126))])
+    entries = chosen.withColumn("x", F.explode(steps)).select("list", "key", "verdict", "x.action", F.timestamp_seconds(F.lit(1704067200) + F.col("x.day") * 86400).alias("at"))
     out = urlfilter.filter_captures(captures, entries)
     return out.select("page_id", F.unix_seconds("fetch_time").alias("fetch_second"), "n_active", "verdict", "entry")
 
