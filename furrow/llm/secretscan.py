@@ -2,10 +2,11 @@
 
 Three fixed patterns give the base spans. The method adds spans of kind ``lexed``: a lexer reads the text as source or
 configuration syntax and yields pairs of a name and a literal (``name = "x"``, ``name: x``, ``"name": "x"``,
-``name="x"``, ``export NAME=x``, ``name := "a" + "b"``), with string prefixes, triple quotes and continued lines. A name
-on the right side, alone or in a concatenation, stands for a constant: the literals of that name, and of names it was set
-from, belong to the target as well. A value is scored joined, by the sensitivity of its target's name times how much it
-looks like a key, and the spans of its pieces are reported from ``THRESHOLD`` on.
+``name="x"``, ``export NAME=x``, ``name := "a" + "b"``, ``name: |`` with an indented block), with string prefixes, triple
+quotes and continued lines; in comments as well, since secrets lie there too. A name on the right side, alone or in a
+concatenation, stands for the constant that the name was last set to before that place (an assignment further down
+says nothing about it). A value is scored joined, by the sensitivity of its target's name times how much it looks like
+a key, and the spans of its pieces, and of those of the constants in it, are reported from ``THRESHOLD`` on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -126,12 +128,22 @@ def _operand(text: str, at: int, unclosed: set[str]) -> tuple[Piece, int] | None
     return (at, end, value, bool(_NAME.match(value))), end
 
 
-def lex(text: str) -> Iterator[tuple[str, list[Piece]]]:
-    """Pairs in a text: the target's name, and the pieces of its value (start, end, value, whether it may be a name)."""
+#: A block under a key: the sign of one, and indented lines.
+_BLOCK = re.compile(r"[|>][-+]?[ \t]*\r?\n((?:[ \t]+[^\s][^\n]*(?:\n|\Z))+)")
+_LINE = re.compile(r"[ \t]+(\S(?:[^\n]*\S)?)\s*?(?:\n|\Z)")
+
+
+def lex(text: str) -> Iterator[tuple[str, int, list[Piece]]]:
+    """Pairs in a text: the target's name, the value's place, and its pieces (start, end, value, whether it may be a name)."""
     at, unclosed, sign = 0, set(), _SIGN.search(text)
     while sign:
         name = _name_before(text, sign.start(), at)
         start = _BLANKS.match(text, sign.end()).end()
+        if name and text[sign.start()] == ":" and (block := _BLOCK.match(text, start)):
+            yield name, start, [(m.start(1), m.end(1), m[1], False) for m in _LINE.finditer(text, block.start(1), block.end(1))]
+            at = block.end()
+            sign = _SIGN.search(text, at)
+            continue
         found = _operand(text, start, unclosed) if name else None
         if not found:
             sign = _SIGN.search(text, sign.end())
@@ -145,7 +157,7 @@ def lex(text: str) -> Iterator[tuple[str, list[Piece]]]:
                 break
             pieces.append(more[0])
             end = more[1]
-        yield name, [p for p in pieces if p[2]]
+        yield name, start, [p for p in pieces if p[2]]
         # a value that is itself a name may head a pair of its own ("export: name = ..."), so go on at the value
         at = start if len(pieces) == 1 and pieces[0][3] else end
         sign = _SIGN.search(text, at)
@@ -156,86 +168,81 @@ def _may_hold(lowered: str, stems: tuple[str, ...]) -> bool:
     return ("=" in lowered or ":" in lowered) and any(s in lowered for s in stems)
 
 
+class _Constants:
+    """The pairs of a text in order, and what a name stands for at a place: the last pair with that name before it."""
+
+    def __init__(self, text: str) -> None:
+        pairs = list(lex(text))
+        self.names = [name for name, _, _ in pairs]
+        self.at: dict[str, tuple[list[int], list[int]]] = {}
+        self.pieces: list[list[tuple[Piece, int]]] = []
+        #: each pair's value as text, and the pair that a value of one name leads to in the end
+        self.text: list[str] = []
+        self.root: list[int] = []
+        for i, (name, start, pieces) in enumerate(pairs):
+            told = [(p, self.behind(p)) for q in pieces for p in self._parts(q)]
+            self.pieces.append(told)
+            alone = len(told) == 1
+            self.root.append(self.root[told[0][1]] if alone and told[0][1] >= 0 else i)
+            # in a concatenation, a name that stands for nothing known adds nothing
+            self.text.append("".join(self.text[k] if k >= 0 else p[2][:_SCORED] if alone or not p[3] else "" for p, k in told[:_SCORED])[:_SCORED])
+            places, numbers = self.at.setdefault(name, ([], []))
+            places.append(start)
+            numbers.append(i)
+
+    def behind(self, piece: Piece) -> int:
+        """The number of the pair that a name refers to, or -1."""
+        if not piece[3] or piece[2] not in self.at:
+            return -1
+        places, numbers = self.at[piece[2]]
+        k = bisect_left(places, piece[0])
+        return numbers[k - 1] if k else -1
+
+    def _parts(self, piece: Piece) -> Iterator[Piece]:
+        """The names of a bare sum like ``A+B``, if all are set before; else the piece itself."""
+        start, _, value, _ = piece
+        parts = value.split("+") if "+" in value else []
+        if parts and all(p in self.at for p in parts):
+            for p in parts:
+                yield start, start + len(p), p, True
+                start += len(p) + 1
+        else:
+            yield piece
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that belong to sensitive names, in order."""
     if not _may_hold(text.lower(), _STEMS):
         return []
-    values: dict[str, list[list[Piece]]] = defaultdict(list)
-    for name, pieces in lex(text):
-        values[name].append(pieces)
-    for name, all_of in values.items():
-        values[name] = [[q for p in pieces for q in _names_in(p, values)] for pieces in all_of]
-    known: dict[str, str] = {}
-    reached: set[str] = set()
+    known = _Constants(text)
+    weights = {name: name_score(name) for name in set(known.names)}
     found: set[tuple[int, int]] = set()
-    for name in list(values):
-        weight = name_score(name)
-        if not weight:
+    reached: set[int] = set()
+    for i, name in enumerate(known.names):
+        if not weights[name]:
             continue
-        seen, todo = {name}, [name]
-        while todo:
-            for pieces in values[todo.pop()]:
-                if len(pieces) == 1 and pieces[0][3] and pieces[0][2] in values and pieces[0][2] not in seen:
-                    seen.add(pieces[0][2])
-                    todo.append(pieces[0][2])
-                    continue
-                alone = {p for p in pieces if not (p[3] and p[2] in values) and weight * literal_score(p[2]) >= THRESHOLD}
-                if len(pieces) > 1:
-                    for p in pieces:
-                        if p[3] and p[2] in values:
-                            _resolve(p[2], values, known)
-                    if weight * literal_score(_join(pieces, values, known)) >= THRESHOLD:
-                        reached |= {p[2] for p in pieces if p[3] and p[2] in values}
-                        # a scrap beside a piece that is a secret by itself is none
-                        alone |= {p for p in pieces if not (p[3] and p[2] in values) and (not alone or len(p[2]) >= SCRAP)}
-                found.update((p[0], p[1]) for p in alone)
-    # all literals behind the names in values that were reported joined
+        pieces = known.pieces[known.root[i]]
+        literals = [p for p, k in pieces if k < 0 and (len(pieces) == 1 or not p[3])]
+        mine = {p for p in literals if weights[name] * literal_score(p[2]) >= THRESHOLD}
+        if len(pieces) > 1 and weights[name] * literal_score(known.text[known.root[i]]) >= THRESHOLD:
+            reached |= {k for _, k in pieces if k >= 0}
+            # a scrap beside a piece that is a secret by itself is none
+            mine |= {p for p in literals if not mine or len(p[2]) >= SCRAP}
+        found.update((p[0], p[1]) for p in mine)
+    # all literals behind the names in values that were reported joined; they lie further up
     todo = list(reached)
     while todo:
-        for p in (p for pieces in values[todo.pop()] for p in pieces):
-            if not (p[3] and p[2] in values):
-                found.add((p[0], p[1]))
-            elif p[2] not in reached:
-                reached.add(p[2])
-                todo.append(p[2])
+        pieces = known.pieces[todo.pop()]
+        for p, k in pieces:
+            if k < 0:
+                if len(pieces) == 1 or not p[3]:
+                    found.add((p[0], p[1]))
+            elif k not in reached:
+                reached.add(k)
+                todo.append(k)
     return sorted(found)
 
 
-def _names_in(piece: Piece, values: dict) -> Iterator[Piece]:
-    """The names of a bare sum like ``A+B``, if all are known; else the piece itself."""
-    start, _, value, _ = piece
-    parts = value.split("+") if "+" in value else []
-    if parts and all(p in values for p in parts):
-        for p in parts:
-            yield start, start + len(p), p, True
-            start += len(p) + 1
-    else:
-        yield piece
-
-
-def _join(pieces: list[Piece], values: dict, known: dict[str, str]) -> str:
-    """A value's text; names not yet known (in a circle) are empty."""
-    return "".join(known.get(p[2], "") if p[3] and p[2] in values else p[2][:_SCORED] for p in pieces[:_SCORED])[:_SCORED]
-
-
-def _resolve(name: str, values: dict, known: dict[str, str]) -> None:
-    """Fill ``known`` for a name and those behind it: its most key-like value."""
-    if name in known:
-        return
-    todo, open_ = [name], set()
-    while todo:
-        here = todo[-1]
-        behind = [p[2] for pieces in values[here] for p in pieces if p[3] and p[2] in values]
-        fresh = [] if here in open_ else [n for n in behind if n not in known and n not in open_ and n != here]
-        open_.add(here)
-        if fresh:
-            todo += fresh
-            continue
-        todo.pop()
-        if here not in known:
-            known[here] = max((_join(pieces, values, known) for pieces in values[here]), key=lambda t: (literal_score(t), len(t)))
-
-
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind's place in ``KINDS``, end), sorted; ends exclude, places count code points."""
     if not text:
