@@ -209,13 +209,15 @@ class LanguageModel:
 def train(labelled: DataFrame, docs_per_language: int = 150, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", seed: int = 7) -> LanguageModel:
     """Fit a model on ``text`` and ``lang`` of at most ``docs_per_language`` documents of every language.
 
-    The documents are those of smallest hash of text and seed, taken whole; Spark counts their words, of any
+    The documents are those of smallest hash of text and seed, taken whole, copies once; Spark counts their words, of any
     length, and the counts are all that reaches the driver. Rows with a null or empty text or a null
-    lang are not learned from; without any row the model has no language.
+    lang are not learned from; without any row the model has no language. The least hashes are found without the
+    texts, so what is shuffled does not grow with the texts of every input split.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(seed)), "text")
-    known = labelled.select("lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    sample = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_language)
+    known = labelled.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    least = known.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_language)
+    chosen = least.select(F.col("lang").alias("l"), F.col("h").alias("k")).distinct()
+    sample = known.join(chosen, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), _GAP)).alias("word")).filter(F.length("word") > 0)
     rows = words.groupBy("lang", "word").count().collect()
     pieces = vocabulary_pieces(path)
@@ -290,4 +292,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", predicti
                 best, posterior = s.predict(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(best), pa.array(posterior, pa.float64())], names=[*names, prediction, score])
 
-    return common.map_arrow(docs.select(*names), run, schema)
+    return common.map_arrow(docs.select(*names), run, schema, holds="langid")
