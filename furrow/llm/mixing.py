@@ -9,6 +9,7 @@ whole documents in the order of a seeded hash until its flow is met.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -87,10 +88,10 @@ def min_cost_flow(patterns: dict, quotas: dict, most: int = 2) -> Flow:
         edge(place[s], sink, float(quotas.get(s, 0.0)), 0)
     placed = spent = 0.0
     while True:
-        far, via, queue, queued = [float("inf")] * nodes, [-1] * nodes, [start], {start}
+        far, via, queue, queued = [float("inf")] * nodes, [-1] * nodes, deque([start]), {start}
         far[start] = 0
         while queue:
-            a = queue.pop(0)
+            a = queue.popleft()
             queued.discard(a)
             for e in out[a]:
                 if cap[e] > 1e-6 and far[a] + cost[e] < far[to[e]]:
@@ -179,6 +180,7 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     Rows that agree in doc_id (or have none) are taken alike, as often as the mix takes any of them; documents without
     words are left out, as they can't fill a target.
     """
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    d, copies, k = common.fresh(docs, "_d", "_copies", "_k")
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(d)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(d))).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(*docs.columns)
