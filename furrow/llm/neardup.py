@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .bpe import texts_as_bytes
@@ -163,7 +164,7 @@ def _sketch_table(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, set (sorted 64-bit hashes as bytes), set_key, and sketch (16 bits of each coordinate)."""
+    """id (of the document), set (sorted 64-bit hashes as bytes), set_key, and sketch (16 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +189,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that full sets confirm. Each pair reads two sets; a set shared by many pairs is not gathered with them."""
-    left = sets.select(F.col("id").alias("_a"), F.col("set").alias("set_a")).hint("merge")
-    right = sets.select(F.col("id").alias("_b"), F.col("set").alias("set_b")).hint("merge")
+    left = sets.select(F.col("set_key").alias("_a"), F.col("set").alias("set_a")).hint("merge")
+    right = sets.select(F.col("set_key").alias("_b"), F.col("set").alias("set_b")).hint("merge")
     both = pairs.join(left, F.col("a") == F.col("_a")).drop("_a").join(right, F.col("b") == F.col("_b")).drop("_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return common.map_arrow(both.select("a", "b", "set_a", "set_b"), run, "a long, b long")
+    return common.map_arrow(both.select("a", "b", "set_a", "set_b"), run, "a binary, b binary")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -250,18 +251,19 @@ def _cross_links(members: DataFrame, percent: int) -> DataFrame:
     high = dealt.select(F.col("cluster").alias("c"), F.col("blk").alias("jj"), F.col("rows").alias("right"))
     pairs = low.join(high, (F.col("cluster") == F.col("c")) & (F.col("j") == F.col("jj"))).select("i", "j", "left", "right")
 
-    def arrays(rows) -> tuple:
+    def arrays(rows, number: dict[bytes, int]) -> tuple:
         sets = [np.frombuffer(x, np.uint64) for x in rows.field("set").to_pylist()]
         sk = np.stack([np.frombuffer(x, np.uint16) for x in rows.field("sketch").to_pylist()])
-        ids, comps = (np.array(rows.field(c).to_pylist(), np.int64) for c in ("id", "comp"))
-        return ids, comps, np.fromiter(map(len, sets), np.int64, len(sets)), sk, sets
+        comps = np.array([number.setdefault(c, len(number)) for c in rows.field("comp").to_pylist()], np.int64)
+        return rows.field("id").to_pylist(), comps, np.fromiter(map(len, sets), np.int64, len(sets)), sk, sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 same_block = batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
-                a_id, a_comp, a_size, a_sk, a_sets = left = arrays(batch.column("left")[r].values)
-                b_id, b_comp, b_size, b_sk, b_sets = left if same_block else arrays(batch.column("right")[r].values)
+                number: dict[bytes, int] = {}
+                a_id, a_comp, a_size, a_sk, a_sets = left = arrays(batch.column("left")[r].values, number)
+                b_id, b_comp, b_size, b_sk, b_sets = left if same_block else arrays(batch.column("right")[r].values, number)
                 joined: dict[int, int] = {}
 
                 def find(c: int, joined: dict[int, int] = joined) -> int:
@@ -269,11 +271,11 @@ def _cross_links(members: DataFrame, percent: int) -> DataFrame:
                         c = joined[c]
                     return c
 
-                found: list[tuple[int, int]] = []
+                found: list[tuple[bytes, bytes]] = []
                 for x in range(len(a_id)):
                     ok = (b_comp != a_comp[x]) & (100 * np.minimum(b_size, a_size[x]) >= percent * np.maximum(b_size, a_size[x]))
                     if same_block:
-                        ok &= b_id > a_id[x]
+                        ok[: x + 1] = False
                     y = np.flatnonzero(ok)
                     if not len(y):
                         continue
@@ -282,11 +284,11 @@ def _cross_links(members: DataFrame, percent: int) -> DataFrame:
                         p, q = find(int(a_comp[x])), find(int(b_comp[z]))
                         if p != q and similar(a_sets[x], b_sets[z], percent):
                             joined[max(p, q)] = min(p, q)
-                            found.append((int(a_id[x]), int(b_id[z])))
+                            found.append((a_id[x], b_id[z]))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in range(2)], names=["a", "b"])
 
-    return common.map_arrow(pairs, run, "a long, b long")
+    return common.map_arrow(pairs, run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -295,12 +297,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are lower-cased (A-Z) and parted at white space; a document's set holds its distinct ``width``-word shingles, or
     its whole sequence if it has fewer words. Documents are linked from ``percent`` percent Jaccard similarity on.
     ``component_id`` is the least doc_id reachable by links and ``kept`` tells whether it is the document's own. Null
-    and empty texts have no shingles and link nothing. doc_id must be whole numbers; rows with equal doc_id are one node of
-    the graph for each distinct set and share nothing else; a null doc_id is never linked and its component is null.
+    and empty texts have no shingles and link nothing. doc_id must be whole numbers. Nodes of the graph are distinct sets,
+    so rows with equal doc_id and different texts link independently. A null doc_id is never linked: its component is
+    null and it is kept.
     """
     table = common.materialise(_sketch_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "nd-sketches")
-    # exact copies: one class for each set, named by its least document
-    classes = table.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    # exact copies: one class for each set, named by the set's digest
+    classes = table.filter("set_key is not null and doc_id is not null").groupBy(F.col("set_key").alias("rep")).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     classes = common.materialise(classes, "nd-classes")
     entries = classes.select("rep", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "leader")
@@ -308,11 +311,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = common.materialise(shared.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "nd-pairs")
     clusters = connected(pairs)
     # texts meet the ids by a shuffle at any size; only these documents' sets are made
-    involved = clusters.select(F.col("node").alias("id")).hint("merge")
+    names = classes.select("rep", "doc").join(clusters.select("node").hint("merge"), F.col("rep") == F.col("node"), "left_semi")
+    involved = names.select(F.col("doc").alias("id")).hint("merge")
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, F.col("doc_id") == F.col("id"), "left_semi")
     # of rows with an equal id, the one whose set is the class's stands for it
-    made = _full_sets(wanted, width).join(classes.select(F.col("rep"), F.col("set_key").alias("sk")), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("sk")), "left_semi")
-    sets = common.materialise(made.dropDuplicates(["id"]).select("id", "set", "sketch"), "nd-sets")
+    made = _full_sets(wanted, width).join(names.select(F.col("doc"), F.col("rep").alias("sk")), (F.col("id") == F.col("doc")) & (F.col("set_key") == F.col("sk")), "left_semi")
+    sets = common.materialise(made.dropDuplicates(["set_key"]).select("set_key", "set", "sketch"), "nd-sets")
     links = common.materialise(_verify(pairs, sets, percent), "nd-links")
     roots = connected(links)
 
@@ -322,17 +326,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # members fall into blocks by a hash before they carry their sets, so that no cluster meets in one task
     n_blk = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = comps.join(mixed, F.col("cluster") == F.col("c")).select("cluster", "id", "comp", n_blk.alias("n_blk"), F.pmod(F.xxhash64("id"), n_blk).cast("int").alias("blk"))
-    met = open_.join(sets.withColumnRenamed("id", "i").hint("merge"), F.col("id") == F.col("i")).drop("i")
+    met = open_.join(sets.hint("merge"), F.col("id") == F.col("set_key")).drop("set_key")
     extra = common.materialise(_cross_links(met, percent), "nd-cross-links")
     if extra.head(1):
         roots = connected(links.union(extra))
-    root_of = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("sk"), F.coalesce("root", "rep").alias("root"))
+    # a component is named by its least document
+    placed = classes.select("rep", "doc").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "doc", F.coalesce("root", "rep").alias("root"))
+    least = placed.groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("component"))
+    root_of = placed.join(least, F.col("root") == F.col("r")).select(F.col("rep").alias("sk"), "component")
     out = table.select("doc_id", "n_shingles", "set_key").join(root_of, F.col("set_key") == F.col("sk"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one of least doc_id. Columns are unchanged."""
-    gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each group: the one of least doc_id. Columns are unchanged.
+
+    Of rows that agree in doc_id and text one stays (the least by its other columns' text). Rows without an id all stay.
+    """
+    told = common.materialise(near_duplicates(docs, width, percent), "nd-told")
+    gone_, again_, place_ = common.fresh(docs, "_gone", "_again", "_place")
+    ids = F.col("doc_id").cast("long")
+    gone = told.filter("not kept").select(F.col("doc_id").alias(gone_)).distinct()
+    stay = docs.join(gone, ids == F.col(gone_), "left_anti")
+    again = told.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias(again_))
+    if not again.head(1):  # every id names one row
+        return stay
+    once = stay.join(again, ids == F.col(again_), "left_anti")
+    order = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+    twice = stay.join(again, ids == F.col(again_), "left_semi").withColumn(place_, F.row_number().over(order)).filter(F.col(place_) == 1)
+    return once.unionByName(twice.select(*docs.columns))
