@@ -150,6 +150,37 @@ def test_shards_where_all_rows_have_copies(spark, copies):
     assert whole >= len(by_text) - 72  # keys at the ends of shards and of free places
 
 
+def plain_propagation(groups, shards, capacity, rounds):
+    """Groups move whole, one after the other, to where most of their members are, while there is room; the cut at the end."""
+    at = {n: hash((n, 1)) % shards for members in groups for n in members}
+    load = Counter(at.values())
+    for _ in range(rounds):
+        for members in groups:
+            votes = Counter(at[n] for n in members)
+            to = max(votes, key=lambda s: (votes[s], -s))
+            for n in members:
+                if at[n] != to and load[to] < capacity * 1.5:
+                    load[at[n]] -= 1
+                    load[to] += 1
+                    at[n] = to
+    return sum(len(set(at[n] for n in members)) - 1 for members in groups)
+
+
+def test_cut_against_plain_propagation(spark):
+    """Groups of 2 to 60 among documents of their own: no more cuts than propagation one by one, but for ends of shards."""
+    rng = np.random.default_rng(3)
+    groups, n = [], 0
+    for size in rng.integers(2, 60, 60).tolist():
+        groups.append(list(range(n, n + size)))
+        n += size
+    rows = [(d, f"group {i}") for i, members in enumerate(groups) for d in members] + [(d, f"own {d}") for d in range(n, 2 * n)]
+    out = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = sum(len({out[d] for d in members}) - 1 for members in groups)
+    begun = sum(len({hash((d, 2)) % 24 for d in members}) - 1 for members in groups)
+    assert cut <= plain_propagation(groups, 24, 2 * n / 24, 3) + 24
+    assert cut < 0.1 * begun
+
+
 def test_shards_of_few(spark):
     docs = odd_docs(spark)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
@@ -185,6 +216,11 @@ def test_url_filter(spark):
     c = spark.createDataFrame(captures, "page_id long, url string, fetch_time timestamp").withColumn("verdict", F.lit("old"))
     got = [(r["page_id"], r["n_active"], r["verdict"], r["entry"]) for r in urlfilter.filter_captures(c, e).orderBy("page_id").collect()]
     assert got == [(1, 0, "none", None), (2, 1, "block", "l:example.com"), (3, 0, "none", None), (4, 2, "allow", "m:www.example.com"), (5, 3, "block", "m:www.example.com/x"), (6, 0, "none", None), (7, 0, "none", None), (8, 0, "none", None), (9, 1, "block", "l:example.com"), (9, 1, "block", "l:example.com"), (10, 0, "none", None), (11, 0, "none", None)]
+    # many questions of one key fall into pieces; working names may clash
+    clash = c.withColumns({n: F.lit(1) for n in ("_host", "_segment", "_at", "_best", "key", "list", "span", "piece")})
+    dealt = urlfilter.filter_captures(clash, e, piece=1)
+    assert [(r["page_id"], r["n_active"], r["verdict"], r["entry"]) for r in dealt.orderBy("page_id").collect()] == got
+    assert set(clash.columns) <= set(dealt.columns)
     assert urlfilter.filter_captures(c.limit(0), e).count() == 0
     assert urlfilter.filter_captures(c, e.limit(0)).filter("verdict <> 'none'").count() == 0
 
@@ -234,6 +270,26 @@ def test_recall(spark, small):
         assert got[q] == sorted(got[q])
 
 
+def test_recall_of_many_queries(spark):
+    """Clusters of vectors, as embeddings have them: 120 queries against brute force, ties and copies included."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16))
+    x = np.repeat(centres, 50, axis=0) + 0.25 * rng.normal(size=(3000, 16))
+    x[2990:] = x[:10]
+    v = spark.createDataFrame([(i * 4, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(v, v.filter("vec_id % 100 = 0"), sample=1000).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 120
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q // 4]) ** 2).sum(axis=1))
+        d[q // 4] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:10] * 4
+        hits += len(set(found) & set(want.tolist()))
+    assert hits >= 0.9 * 1200
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, None]), (200, None), (10, [2.0, 0.0]), (None, [1.0, 1.0]), (11, [1.0, 2.0, 3.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -383,6 +439,18 @@ def test_mix(spark, small):
     assert mixing.take_mix(docs).count() == sum(r["copies"] for r in rows)
 
 
+def test_words_before_line_ends(spark):
+    """Characters that end a line for some pattern engines but are no white space here are words of their own."""
+    texts = ["foo \u0085", "foo \u2028", "foo \u2029 \n", " \u0085", "a\u0085\n", "foo \r\n", "\u00a0", ""]
+    docs = spark.createDataFrame([(i, t, "en", "abc"[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()}
+    assert got == {i: len(WORDS.findall(t)) for i, t in enumerate(texts)}
+    db = duckdb.connect()
+    table = docs.toPandas()
+    db.register("documents", table)
+    assert {r[0]: r[1] for r in db.sql(f"select doc_id, size from ({queries.oracle_sql()['op10_mixing']})").fetchall()} == got
+
+
 def test_mix_edges(spark):
     docs = odd_docs(spark).drop("size")
     rows = mixing.mix(docs).collect()
