@@ -5,6 +5,7 @@ The library makes no network calls: a caller gives a function from a prompt to a
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 import re
@@ -28,6 +29,19 @@ def provider_from_env(env: dict[str, str] | None = None) -> str | None:
     return next((name for key, name in (("ANTHROPIC_API_KEY", "anthropic"), ("OPENAI_API_KEY", "openai")) if env.get(key)), None)
 
 
+def plug_in(model: str | None = None, env: dict[str, str] | None = None) -> Callable[[str], str]:
+    """The function that ``FURROW_ASK=module:function`` names, called as function(prompt, model=..., timeout=...)."""
+    env = os.environ if env is None else env
+    module, colon, name = env.get("FURROW_ASK", "").partition(":")
+    if not colon:
+        raise AIResponseError("asking a model needs a plug-in: set FURROW_ASK=module:function, called with (prompt, model=, timeout=)")
+    try:
+        function = getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError) as e:
+        raise AIResponseError(f"FURROW_ASK={module}:{name}: {e}") from e
+    return lambda text: function(text, model=model, timeout=TIMEOUT_S)
+
+
 def compact_ddl(schema: Schema) -> str:
     """One line for each table: columns with types, keys and references."""
     lines = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+import os
 import sys
 import time
 
@@ -85,8 +86,11 @@ def _generate(spark: SparkSession, a: argparse.Namespace, config: Config, url: s
         settings = {k: held.settings[k] for k in settings}
         columns = {tuple(k.split(".", 1)): v for k, v in held.settings.get("columns", {}).items()}
         meanings = ai.restore(meanings, kept)
-    if (a.ai or config.ai) and ask:
-        before, meanings = meanings, ai.classify(schema, meanings, ask)
+    for warning in config.warnings(schema):
+        sys.stderr.write(f"warning: {warning}\n")
+    if a.ai or config.ai:
+        ask = ask or ai.plug_in(a.model)
+        before, meanings = meanings, ai.classify(schema, meanings, ask, os.path.join(a.directory, ".furrow", "ai"), f"{drift.schema_hash(schema)}-{a.model or 'default'}".replace("/", "_"))
         kept = kept | ai.changed(before, meanings)
     profiles = profile.as_distributions(profile.load_profiles(a.subset)) if a.subset else {}
     plan = build_plan(schema, seed, settings["rows"], base_time, settings["tables"], columns, profiles, meanings, config.break_at, settings["include"], settings["exclude"])
@@ -95,7 +99,7 @@ def _generate(spark: SparkSession, a: argparse.Namespace, config: Config, url: s
         if schema.dialect == SQLITE:
             sinks.insert_sqlite(spark, generator, sqlite.path_of(url))
         else:
-            sinks.write_jdbc(spark, generator, url if url.startswith("jdbc:") else f"jdbc:{url}", {})
+            sinks.insert_jdbc(spark, generator, url if url.startswith("jdbc:") else f"jdbc:{url}", schema.dialect)
     else:
         kind = sinks.format_for(a.output, a.format)
         if kind == "parquet":
@@ -155,10 +159,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             out.write(mermaid(graph) if a.format == "mermaid" else dot(graph))
         elif a.command == "sample":
             wanted = _names(a.tables) or list(schema.tables)
-            read = (lambda n: sqlite.read_table(spark, url, n)) if schema.dialect == SQLITE else (lambda n: jdbc.read_table(spark, url if url.startswith("jdbc:") else f"jdbc:{url}", n))
-            keys = [(t, k.columns[0], k.parent) for t in wanted for k in schema.tables[t].foreign_keys if k.parent in wanted]
-            skip = {t: [c.name for c in schema.tables[t].columns.values() if c.auto_increment or c.type.is_serial] for t in wanted}
-            found = profile.sample({t: read(t) for t in wanted}, keys, a.categorical_limit, a.min_rows, skip=skip)
+            if schema.dialect == SQLITE:
+                run = sqlite.runner(url)
+            else:
+                asked = jdbc.JdbcIntrospector(spark, url if url.startswith("jdbc:") else f"jdbc:{url}", schema.dialect)
+                run = lambda q: [tuple(r.values()) for r in asked.run(q)]
+            found = profile.sample_database(run, schema, wanted, a.categorical_limit, a.min_rows)
             profile.save_profiles(found, a.output)
             out.write(f"{len(found)} profiles in {a.output}\n")
     except FurrowError as e:

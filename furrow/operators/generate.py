@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CompositeUniqueExhausted, ForeignKeyResolution, UniqueExhausted, UnsupportedStrategy
-from ..functions.draws import Draws, later, permuted
+from ..functions.draws import Draws, combination, later, permuted
 from ..plans.plan import ColumnPlan, GenerationPlan, TablePlan
 from . import providers
 from .correlated import group_value
@@ -64,11 +64,7 @@ class Generator:
                 total *= s
             if total < table.rows:
                 raise CompositeUniqueExhausted(f"{table.name}({', '.join(members)}): {total} values for {table.rows} rows")
-            place = permuted(id, total, self.plan.seed, f"{table.name}.{'.'.join(members)}")
-            for m, s in zip(members, sizes, strict=True):
-                if m == name:
-                    return F.pmod(place, F.lit(s))
-                place = F.floor(place / s).cast("bigint")
+            return combination(id, sizes, members.index(name), self.plan.seed, members, self.draws(table.name, id))
         return None
 
     def _open_member(self, table: TablePlan, c: ColumnPlan) -> bool:
@@ -89,18 +85,22 @@ class Generator:
         place = self._place(table, c, id)
         return place if place is not None else self.draws(table.name, id).integer(0, parent.rows, f"key:{','.join(c.strategy.key)}")
 
-    def raw(self, table: TablePlan, c: ColumnPlan, id: Column, deep: int = 0) -> tuple[str, Column]:
-        """A column's kind of value and expression before nulls, in the kind of its source."""
+    def raw(self, table: TablePlan, c: ColumnPlan, id: Column, seen: frozenset = frozenset()) -> tuple[str, Column]:
+        """A column's kind of value and expression before nulls, in the kind of its source.
+
+        ``seen``: the columns whose keys led here. A chain of keys ends at a column that is no key; one that comes back to
+        a column of its own has no first value, so a provider gives one.
+        """
         s, name, draws = c.strategy, c.column.name, self.draws(table.name, id)
         context = providers.Context(draws, name, self.base_time, c.checks)
         if s.kind == "auto":
             return "bigint", id + 1 + table.offset
         if s.kind in ("foreign_key", "deferred"):
-            if deep > 8:
-                return providers.PROVIDERS[c.meaning][0], providers.PROVIDERS[c.meaning][1](context)
             parent = self.plan.tables[s.parent]
             target = parent.columns[s.parent_columns[s.part]]
-            return target.column.type.kind, self.value(parent, target, self.pick(table, c, id), deep + 1, nulls=False)
+            if (parent.name, target.column.name) in seen:
+                return providers.PROVIDERS[c.meaning][0], providers.PROVIDERS[c.meaning][1](context)
+            return target.column.type.kind, self.value(parent, target, self.pick(table, c, id), seen | {(table.name, name)}, nulls=False)
         if s.kind in ("enum", "values"):
             place = self._place(table, c, id)
             values = list(s.values)
@@ -151,10 +151,10 @@ class Generator:
             return F.unhex(F.md5(context.draws.uuid(context.column)))
         return F.lit(None)
 
-    def value(self, table: TablePlan, c: ColumnPlan, id: Column, deep: int = 0, nulls: bool = True) -> Column:
+    def value(self, table: TablePlan, c: ColumnPlan, id: Column, seen: frozenset = frozenset(), nulls: bool = True) -> Column:
         """A column of the declared type: unique where it must be, null where it may."""
         target = c.column.type.spark(c.column.precision, c.column.scale)
-        kind, out = self.raw(table, c, id, deep)
+        kind, out = self.raw(table, c, id, seen)
         context = providers.Context(self.draws(table.name, id), c.column.name, self.base_time, c.checks)
         if not self._fits(kind, c):
             out = self._typed(c, context)
@@ -192,21 +192,31 @@ class Generator:
             return later(self.base_time, seconds=-id)
         return F.concat_ws("-", out.cast("string"), id.cast("string"))
 
-    def frame(self, spark: SparkSession, name: str, keep_id: bool = False, final: bool = False, partitions: int | None = None) -> DataFrame:
+    def written(self, name: str, auto: bool = True) -> list[ColumnPlan]:
+        """The columns that rows have. Without ``auto``, keys that the database numbers are left to it (unless a table has nothing else)."""
+        columns = [c for c in self.plan.tables[name].columns.values() if c.strategy.kind != "skip"]
+        return columns if auto else [c for c in columns if c.strategy.kind != "auto"] or columns
+
+    def rows(self, spark: SparkSession, name: str, partitions: int | None = None, batch: int = 1) -> DataFrame:
+        """Row numbers as ``id``, in order over partitions; with ``batch``, partitions begin at its multiples."""
+        n = self.plan.tables[name].rows
+        if batch == 1:
+            return spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+        batches = -(-n // batch)
+        parts = max(1, min(partitions or max(spark.sparkContext.defaultParallelism, n >> 20), batches))
+        return spark.range(0, -(-batches // parts) * parts * batch, 1, parts).filter(F.col("id") < n)
+
+    def frame(self, spark: SparkSession, name: str, keep_id: bool = False, final: bool = False, partitions: int | None = None, auto: bool = True, batch: int = 1) -> DataFrame:
         """A table's rows. Deferred keys are null, or their final values if ``final``; ``keep_id`` keeps the row's number as ``_id``."""
-        table = self.plan.tables[name]
-        rows = spark.range(0, table.rows, 1, partitions) if partitions else spark.range(table.rows)
-        made = []
-        for c in table.columns.values():
-            if c.strategy.kind == "skip":
-                continue
+        table, made = self.plan.tables[name], []
+        for c in self.written(name, auto):
             if c.strategy.kind == "deferred" and not final:
                 made.append(F.lit(None).cast(c.column.type.spark(c.column.precision, c.column.scale)).alias(c.column.name))
             else:
                 made.append(self.value(table, c, F.col("id")).alias(c.column.name))
         if keep_id:
             made.insert(0, F.col("id").alias("_id"))
-        return rows.select(*made)
+        return self.rows(spark, name, partitions, batch).select(*made)
 
     def deferred_updates(self, spark: SparkSession) -> DataFrame:
         """table_name, row_index, column_name, value (text) of every deferred key of every row."""

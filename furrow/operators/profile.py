@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import ProfileError
+from ..functions import text
+from ..schema import Schema
 
 #: Parts of names that tell of personal data (fixed values), found anywhere in the lower-case name.
 PII_PARTS = (
@@ -47,18 +49,19 @@ def categorical(df: DataFrame, table: str, columns: list[str] | None = None, lim
     """table_name, column_name, value, n, freq: the most frequent values of every column, ties in order of value.
 
     ``freq`` is the share of all rows, nulls included. All columns are counted in one pass and one shuffle of
-    pre-aggregated (column, value) pairs.
+    pre-aggregated (column, value) pairs; ``limit`` values of a column and task are shuffled for the ranking.
     """
     columns = columns if columns is not None else _columns(df, (T.StringType,))
     if not columns:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string, n long, freq double")
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.*")
     counts = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("column_name"))
+    # the rank alone stands over the counts, so every task cuts its part to the limit before values meet
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    shares = counts.withColumn("freq", F.col("n") / total).filter("value is not null")
-    top = shares.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
-    return top.select(F.lit(table).alias("table_name"), "column_name", "value", "n", "freq")
+    top = counts.filter("value is not null").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    shares = top.crossJoin(F.broadcast(total)).withColumn("freq", F.col("n") / F.col("_total"))  # one row
+    return shares.select(F.lit(table).alias("table_name"), "column_name", "value", "n", "freq")
 
 
 def numeric(df: DataFrame, table: str, columns: list[str] | None = None, skip: Iterable[str] = ()) -> DataFrame:
@@ -100,6 +103,46 @@ def mask(profiles: DataFrame) -> DataFrame:
     return profiles.filter(~(pii_column(F.col("column_name")) & (F.col("kind") == "categorical")))
 
 
+def masked_count(profiles: DataFrame) -> DataFrame:
+    """One row: the number of columns whose categorical values ``mask`` takes away."""
+    gone = profiles.filter(pii_column(F.col("column_name")) & (F.col("kind") == "categorical"))
+    return gone.select("table_name", "column_name").distinct().agg(F.count(F.lit(1)).alias("n_masked"))
+
+
+def sample_database(run: Callable[[str], list[tuple]], schema: Schema, tables: list[str], limit: int = 50, least_rows: int = 10, masked: bool = True) -> list[dict]:
+    """``sample`` by aggregates that the database computes: ``run`` answers a query with rows, and no table is read out.
+
+    Only what a profile holds comes back. Counted keys are left out; ratios are those of tables in ``tables``.
+    """
+    q = lambda n: text.quote_identifier(n, schema.dialect)
+    out, counts = [], {}
+    for name in tables:
+        counts[name] = n = int(run(f"SELECT count(*) FROM {q(name)}")[0][0])
+        if n < least_rows:
+            continue
+        columns: dict[str, dict] = {}
+        for c in schema.tables[name].columns.values():
+            if c.auto_increment or c.type.is_serial:
+                continue
+            x = q(c.name)
+            if c.type.is_numeric:
+                low, high, mean = run(f"SELECT min({x}), max({x}), avg({x} * 1.0) FROM {q(name)}")[0]
+                if low is not None:
+                    off = f"({x} * 1.0 - ({float(mean)!r}))"
+                    spread = run(f"SELECT avg({off} * {off}) FROM {q(name)}")[0][0]
+                    columns[c.name] = {"kind": "numeric", "min": float(low), "max": float(high), "mean": float(mean), "stddev": max(0.0, float(spread)) ** 0.5}
+            elif (c.type.is_string or c.enum_values is not None) and not (masked and is_pii_name(c.name)):
+                found = run(f"SELECT {x}, count(*) FROM {q(name)} WHERE {x} IS NOT NULL GROUP BY {x} ORDER BY count(*) DESC, {x} LIMIT {limit}")
+                if found:
+                    columns[c.name] = {"kind": "categorical", "values": [[str(v), int(k) / n] for v, k in found]}
+        out.append({"table": name, "rows": n, "columns": columns})
+    for p in out:
+        for k in schema.tables[p["table"]].foreign_keys:
+            if counts.get(k.parent):
+                p["columns"][f"__ratio_{k.columns[0]}"] = {"kind": "ratio", "parent": k.parent, "ratio": p["rows"] / counts[k.parent]}
+    return out
+
+
 def sample(tables: dict[str, DataFrame], keys: list[tuple[str, str, str]] = (), limit: int = 50, least_rows: int = 10, masked: bool = True, skip: dict[str, list[str]] | None = None) -> list[dict]:
     """Profiles for interchange: a list of {table, rows, columns: {name: distribution}}.
 

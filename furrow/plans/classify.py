@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -117,6 +118,11 @@ _TABLE = [(re.compile(a), re.compile(b), m) for a, b, m in TABLE_RULES]
 _GENERAL = [(re.compile(a), kinds, m) for a, kinds, m in RULES]
 
 
+def is_personal(meaning: str) -> bool:
+    """Whether a meaning tells about a person."""
+    return meaning in PERSONAL
+
+
 def group_of(meaning: str) -> str | None:
     return next((g for g, members in GROUPS.items() if meaning in members), None)
 
@@ -142,16 +148,22 @@ def classify_column(name: str, type_: DataType, table: str, auto_increment: bool
         return "AutoIncrement"
     if in_key and type_.kind == "uuid":
         return "Uuid"
-    plain = normal_name(name)
     if is_enum:
-        return _enum_meaning(plain)
+        return _enum_meaning(normal_name(name))
+    return _by_rules(name, type_.kind, table)
+
+
+@lru_cache(maxsize=100_000)
+def _by_rules(name: str, kind: str, table: str) -> str:
+    """Names repeat over tables and schemas."""
+    plain = normal_name(name)
     for pattern, tables, meaning in _TABLE:
         if pattern.search(plain) and tables.search(table):
             return meaning
     for pattern, kinds, meaning in _GENERAL:
-        if (kinds is None or type_.kind in kinds) and pattern.search(plain):
+        if (kinds is None or kind in kinds) and pattern.search(plain):
             return meaning
-    return FALLBACK.get(type_.kind, "Unknown")
+    return FALLBACK.get(kind, "Unknown")
 
 
 def classify_table(table: Table) -> dict[str, str]:

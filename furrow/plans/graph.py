@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from ..errors import CircularDependency, UnbreakableCycle
 from ..schema import ForeignKey, Schema
@@ -92,16 +93,41 @@ class DependencyGraph:
         return self.deferred
 
     def order(self) -> list[str]:
-        """Tables, parents before children; among those that are ready, in the schema's order."""
-        waits = {t: {e.parent for e in self.edges if e.child == t} for t in self.tables}
+        """Tables, parents before children; of those that are ready, the first in the schema's order."""
+        place = {t: i for i, t in enumerate(self.tables)}
+        parents = {t: set() for t in self.tables}
+        children: dict[str, set[str]] = {t: set() for t in self.tables}
+        for e in self.edges:
+            parents[e.child].add(e.parent)
+            children[e.parent].add(e.child)
+        waits = {t: len(p) for t, p in parents.items()}
+        ready = [place[t] for t in self.tables if not waits[t]]
         done: list[str] = []
-        while len(done) < len(self.tables):
-            ready = next((t for t in self.tables if t not in done and waits[t] <= set(done)), None)
-            if ready is None:
-                raise CircularDependency(", ".join(t for t in self.tables if t not in done))
-            done.append(ready)
+        while ready:
+            t = self.tables[heappop(ready)]
+            done.append(t)
+            for c in children[t]:
+                waits[c] -= 1
+                if not waits[c]:
+                    heappush(ready, place[c])
+        if len(done) < len(self.tables):
+            raise CircularDependency(", ".join(t for t in self.tables if waits[t]))
         return done
 
+    def levels(self) -> dict[str, int]:
+        """The longest chain of parents above each table."""
+        out: dict[str, int] = {}
+        above: dict[str, list[str]] = {t: [] for t in self.tables}
+        for e in self.edges:
+            above[e.child].append(e.parent)
+        for t in self.order():
+            out[t] = max((out[p] + 1 for p in above[t]), default=0)
+        return out
+
+    def self_references(self) -> list[Edge]:
+        """Keys of a table to itself, deferred ones included."""
+        return [e for e in [*self.edges, *self.deferred] if e.child == e.parent]
+
     def ancestors(self, names: list[str]) -> set[str]:
         """The tables and all that they depend on, deferred keys included."""
         found, todo = set(), [n for n in names if n in self.tables]

@@ -24,7 +24,7 @@ _SQL: dict[str, str] = {}
 SEED = 42
 BASE = dt.datetime(2025, 1, 1)
 ROWS = {"users": 500, "categories": 40, "products": 200, "orders": 2000, "order_items": 5000, "stores": 300}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "conversations", "benchmark")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "conversations", "benchmark", "embeddings")
 
 
 def _add(name: str, query: Query, sql: str) -> None:
@@ -102,6 +102,13 @@ _add(
     "select 'customer' as table_name, 'segment' as column_name, 'categorical' as kind, value as metric, round(freq, 6) as value from (" + _categorical_sql("customer", "c_mktsegment") + ") union all select 'customer', 'token_count', 'numeric', metric, round(value, 6) from (select unnest(['min', 'max', 'mean', 'stddev']) as metric, unnest([min(c_acctbal), max(c_acctbal), avg(c_acctbal), stddev_pop(c_acctbal)]) as value from customer)",
 )
 
+def _masked_count(spark: SparkSession, d: str) -> DataFrame:
+    df = read_table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_mktsegment").alias("street"), F.col("c_mktsegment").alias("city"), F.col("c_acctbal").alias("token_count"))
+    return profile.masked_count(profile.profile_long(df, "customer"))
+
+
+_add("masked_count", _masked_count, "select case when count(*) >= 10 then 2 else 0 end::bigint as n_masked from customer")
+
 # --- classification ---------------------------------------------------------------------------------------------------
 
 _STAR_COLUMNS = [("customer", "name", "text"), ("customer", "acctbal", "double"), ("customer", "mktsegment", "text"), ("supplier", "name", "text"), ("part", "name", "text"), ("part", "brand", "text"), ("part", "type", "text"), ("part", "size", "integer"), ("part", "retailprice", "double"), ("orders", "orderstatus", "text"), ("orders", "totalprice", "double"), ("orders", "orderdate", "timestamp"), ("orders", "orderpriority", "text"), ("lineitem", "quantity", "double"), ("lineitem", "discount", "double"), ("lineitem", "tax", "double"), ("events", "ts", "timestamp"), ("events", "user_id", "bigint"), ("events", "value", "double"), ("events", "props", "json"), ("documents", "text", "text"), ("documents", "lang", "text"), ("pages", "url", "text"), ("labels", "quality", "integer")]
@@ -131,6 +138,47 @@ def _column_frame(spark: SparkSession) -> DataFrame:
 _add("classify_columns", lambda s, d: classify_frame(_column_frame(s)), _meaning_sql())
 
 
+#: One name for every rule, with the meaning that it must have, written out.
+_ANSWERS = (
+    ("users", "name", "text", "FullName"), ("vendors", "name", "text", "CompanyName"), ("products", "name", "text", "Title"), ("staff", "title", "text", "JobTitle"),
+    ("t", "given_name", "text", "FirstName"), ("t", "surname", "text", "LastName"), ("t", "real_name", "text", "FullName"), ("t", "nickname", "text", "Username"), ("t", "mail_addr", "text", "Email"),
+    ("t", "cell_phone", "text", "Phone"), ("t", "dial_code", "text", "PhoneCountryCode"), ("t", "address_line_2", "text", "StreetAddress"), ("t", "town", "text", "City"), ("t", "province", "text", "State"), ("t", "postCode", "text", "ZipCode"),
+    ("t", "country", "text", "Country"), ("t", "iso_country", "text", "CountryCode"), ("t", "lat", "double", "Latitude"), ("t", "lng", "double", "Longitude"), ("t", "employer", "text", "CompanyName"), ("t", "occupation", "text", "JobTitle"),
+    ("t", "division", "text", "Department"), ("t", "sector", "text", "Industry"), ("t", "homepage", "text", "Url"), ("t", "hostname", "text", "DomainName"), ("t", "remote_addr", "text", "IpAddress"), ("t", "hw_addr", "text", "MacAddress"),
+    ("t", "ua", "text", "UserAgent"), ("t", "slug", "text", "Slug"), ("t", "headline", "text", "Title"), ("t", "excerpt", "text", "Description"), ("t", "about_me", "text", "Bio"), ("t", "remarks", "text", "Paragraph"),
+    ("t", "coverImage", "text", "ImageUrl"), ("t", "profile_pic", "text", "AvatarUrl"), ("t", "thumb", "text", "ThumbnailUrl"), ("t", "attachment_url", "text", "FileUrl"), ("t", "original_name", "text", "FileName"), ("t", "media_type", "text", "MimeType"),
+    ("t", "size_bytes", "bigint", "FileSize"), ("t", "sub_total", "double", "Price"), ("t", "currency", "text", "Currency"), ("t", "currency_iso", "text", "CurrencyCode"), ("t", "pct", "double", "Percentage"), ("t", "dateCreated", "timestamp", "CreatedAt"),
+    ("t", "last_modified", "timestamp", "UpdatedAt"), ("t", "removed_at", "timestamp", "DeletedAt"), ("t", "valid_from", "date", "StartDate"), ("t", "valid_until", "date", "EndDate"), ("t", "dob", "date", "BirthDate"), ("t", "passwd", "text", "PasswordHash"),
+    ("t", "reset-token", "text", "Token"), ("t", "app_key", "text", "ApiKey"), ("t", "client_secret", "text", "SecretKey"), ("t", "reference", "text", "ExternalId"), ("t", "part_number", "text", "Sku"), ("t", "order_no", "text", "OrderNumber"),
+    ("t", "invoice_ref", "text", "InvoiceNumber"), ("t", "tracking_code", "text", "TrackingNumber"), ("t", "status", "text", "Status"), ("t", "account_type", "text", "Role"), ("t", "urgency", "text", "Priority"), ("t", "kind", "text", "Category"),
+    ("t", "labels", "text", "Tag"), ("t", "has_children", "boolean", "BooleanFlag"), ("t", "qty", "integer", "Quantity"), ("t", "stars", "integer", "Rating"), ("t", "mass", "double", "Weight"), ("t", "depth", "double", "Height"), ("t", "age", "integer", "Age"),
+    ("t", "elapsed", "double", "Duration"), ("t", "ordinal", "integer", "SortOrder"), ("t", "colour", "text", "Color"), ("t", "hex_color", "text", "HexColor"), ("t", "language_code", "text", "Locale"), ("t", "tz", "text", "Timezone"), ("t", "warehouse_id", "integer", "ExternalId"),
+    ("t", "age", "text", "Unknown"), ("t", "qty", "text", "Unknown"), ("t", "xyzzy", "text", "Unknown"), ("t", "xyzzy", "boolean", "BooleanFlag"), ("t", "xyzzy", "uuid", "Uuid"), ("t", "xyzzy", "json", "JsonData"), ("t", "xyzzy", "jsonb", "JsonData"), ("t", "xyzzy", "inet", "IpAddress"),
+    ("t", "xyzzy", "macaddr", "MacAddress"), ("t", "xyzzy", "date", "DateOnly"), ("t", "xyzzy", "time", "TimeOnly"), ("t", "xyzzy", "timestamp", "Timestamp"), ("t", "xyzzy", "timestamptz", "Timestamp"),
+)
+_ANSWERS_SQL = "select * from (values " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in _ANSWERS) + ") v(table_name, column_name, kind, meaning)"
+_add("classify_every_rule", lambda s, d: classify_frame(s.createDataFrame([r[:3] for r in _ANSWERS], "table_name string, column_name string, kind string")), _ANSWERS_SQL)
+
+
+def _driver_answers(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.classify import classify_column
+    from .schema import DataType
+
+    return spark.createDataFrame([(t, c, k, classify_column(c, DataType(k, name=k), t)) for t, c, k, _ in _ANSWERS], "table_name string, column_name string, kind string, meaning string")
+
+
+_add("classify_on_driver", _driver_answers, _ANSWERS_SQL)
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.classify import MEANINGS, is_personal
+
+    return spark.createDataFrame([(m,) for m in MEANINGS if is_personal(m)], "meaning string")
+
+
+_add("personal_meanings", _personal, "select unnest(['FirstName', 'LastName', 'FullName', 'Email', 'Phone', 'StreetAddress', 'BirthDate', 'PasswordHash', 'Token', 'ApiKey', 'SecretKey', 'IpAddress']) as meaning")
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     named = _column_frame(spark).withColumn("meaning", meaning_column(F.col("column_name"), F.col("table_name"), F.col("kind")))
     members = spark.createDataFrame([(g, m) for g, ms in GROUPS.items() for m in ms], "group_name string, meaning string")
@@ -147,33 +195,59 @@ _CIRCLE = [(t.name, k.parent, k.columns[0]) for t in examples.circular().tables.
 _CIRCLE_SQL = "(values " + ", ".join(f"('{c}', '{p}', '{k}')" for c, p, k in _CIRCLE) + ") e(child, parent, via)"
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(list(dict.fromkeys((c, p) for c, _, p, _ in STAR_FOREIGN)), "child string, parent string")
-    df.createOrReplaceTempView("furrow_edges")
-    return df
-
+def _star(spark: SparkSession, d: str):
+    from .plans.graph import DependencyGraph
+    from .sources.parquet import ParquetIntrospector
 
-def _depth(spark: SparkSession, d: str) -> DataFrame:
-    _edges(spark)
-    return spark.sql("with recursive walk(name, depth) as (select distinct parent, 0 from furrow_edges where parent not in (select child from furrow_edges) union all select e.child, w.depth + 1 from furrow_edges e join walk w on e.parent = w.name) select name as table_name, max(depth) as depth from walk group by name")
+    linked = dict.fromkeys(t for c, _, p, _ in STAR_FOREIGN for t in (p, c))
+    return DependencyGraph.of(ParquetIntrospector(spark, d, list(linked)).introspect())
 
 
-_add("fk_depth", _depth, f"with recursive edges as (select * from {_EDGES_SQL}), walk(name, depth) as (select distinct parent, 0 from edges where parent not in (select child from edges) union all select e.child, w.depth + 1 from edges e join walk w on e.parent = w.name) select name as table_name, max(depth) as depth from walk group by name")
+_add("fk_depth", lambda s, d: s.createDataFrame(list(_star(s, d).levels().items()), "table_name string, depth int"), f"with recursive edges as (select * from {_EDGES_SQL}), walk(name, depth) as (select distinct parent, 0 from edges where parent not in (select child from edges) union all select e.child, w.depth + 1 from edges e join walk w on e.parent = w.name) select name as table_name, max(depth) as depth from walk group by name")
 
 
 def _closure(spark: SparkSession, d: str) -> DataFrame:
-    _edges(spark)
-    return spark.sql("with recursive up(name) as (select 'lineitem' union all select e.parent from furrow_edges e join up on e.child = up.name) select distinct name as table_name from up where name not in ('part')")
+    from .plans.graph import filter_tables
+
+    graph = _star(spark, d)
+    return spark.createDataFrame([(t,) for t in filter_tables(graph.order(), graph, ["lineitem"], ["part"])], "table_name string")
 
 
 _add("include_closure", _closure, f"with recursive edges as (select * from {_EDGES_SQL}), up(name) as (select 'lineitem' union select e.parent from edges e join up on e.child = up.name) select name as table_name from up where name <> 'part'")
 
 
-def _circle(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CIRCLE, "child string, parent string, via string")
+def _own_keys(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.graph import DependencyGraph
+
+    return spark.createDataFrame([(e.child, e.key.columns[0]) for e in DependencyGraph.of(examples.circular()).self_references()], "child string, via string")
+
+
+_add("self_references", _own_keys, f"select child, via from {_CIRCLE_SQL} where child = parent")
 
 
-_add("self_references", lambda s, d: _circle(s).filter("child = parent").select("child", "via"), f"select child, via from {_CIRCLE_SQL} where child = parent")
+def _breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Which keys are deferred, without and with a named place to break."""
+    from .plans.graph import DependencyGraph
+
+    rows = []
+    for said in ((), ("departments.head_id",)):
+        rows += [(",".join(said), e.child, e.key.columns[0]) for e in DependencyGraph.of(examples.circular()).break_cycles(said)]
+    return spark.createDataFrame(rows, "named string, child string, via string")
+
+
+_add("cycle_breaks", _breaks, "select * from (values ('', 'employees', 'department_id'), ('', 'employees', 'manager_id'), ('departments.head_id', 'departments', 'head_id'), ('departments.head_id', 'employees', 'manager_id')) v(named, child, via)")
+
+
+def _picture(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.graph import DependencyGraph, dot, mermaid
+
+    graph = DependencyGraph.of(examples.circular())
+    graph.break_cycles(("departments.head_id",))
+    return spark.createDataFrame([(k, x.strip()) for k, t in (("mermaid", mermaid(graph)), ("dot", dot(graph))) for x in t.splitlines() if "->" in x], "kind string, line string")
+
+
+_add("graph_pictures", _picture, """select * from (values ('mermaid', 'employees -->|department_id| departments'), ('mermaid', 'departments -.->|head_id (deferred)| employees'), ('mermaid', 'employees -.->|manager_id (deferred)| employees'),
+  ('dot', '"employees" -> "departments" [label="department_id"];'), ('dot', '"departments" -> "employees" [label="head_id", style=dashed];'), ('dot', '"employees" -> "employees" [label="manager_id", style=dashed];')) v(kind, line)""")
 
 
 def _cycle_members(spark: SparkSession, d: str) -> DataFrame:
@@ -259,8 +333,8 @@ def _u(table: str, name: str, k: int = 0, id: str = "id") -> str:
     return f"(('0x' || substr(md5('{SEED}|{table}|{name}|{k}|' || ({id})::varchar), 1, 13))::bigint / 4503599627370496::double)"
 
 
-def _int(table: str, low: int, high: int, name: str, k: int = 0) -> str:
-    return f"({low} + floor({_u(table, name, k)} * {high - low}))::bigint"
+def _int(table: str, low: int, high: int, name: str, k: int = 0, id: str = "id") -> str:
+    return f"({low} + floor({_u(table, name, k, id)} * {high - low}))::bigint"
 
 
 def _pick(table: str, values: list, name: str, k: int = 0) -> str:
@@ -302,9 +376,48 @@ _add("gen_price_weight", lambda s, d: _frame(s, "products", F.col("price").cast(
 _add("gen_quantity", lambda s, d: _frame(s, "order_items", "quantity"), f"select id as row_id, {_int('order_items', 1, 101, 'quantity')}::int as quantity {_from('order_items')}")
 _add("gen_unique_text", lambda s, d: _frame(s, "orders", "order_number").join(_frame(s, "products", "sku"), "row_id", "left"), f"select r.id as row_id, printf('ORD-%08d', r.id + 1) as order_number, case when r.id < {ROWS['products']} then printf('SKU-%06d', r.id + 1) end as sku {_from('orders')}")
 _add("gen_boolean", lambda s, d: _frame(s, "users", "is_active"), f"select id as row_id, {_u('users', 'is_active')} < 0.7 as is_active {_from('users')}")
-_step, _shift = permutation(ROWS["orders"] * ROWS["products"], SEED, "order_items.order_id.product_id")
-_place = f"((id * {_step} + {_shift}) % {ROWS['orders'] * ROWS['products']})"
-_add("gen_composite_unique", lambda s, d: _frame(s, "order_items", "order_id", "product_id"), f"select id as row_id, ({_place} % {ROWS['orders']} + 1)::int as order_id, ({_place} // {ROWS['orders']} % {ROWS['products']} + 1)::int as product_id {_from('order_items')}")
+_S0, _S1, _PAIR = ROWS["orders"], ROWS["products"], "order_id,product_id"
+(_step0, _shift0), (_step1, _shift1) = (permutation(n, SEED, f"order_items.{_PAIR}.{k}") for k, n in enumerate((_S0, _S1)))
+_place0 = f"((id % {_S0}) * {_step0} + {_shift0}) % {_S0}"
+_digit1 = f"((id // {_S0} + floor({_u('order_items', 'digit:' + _PAIR, 1, 'place0')} * {_S1})::bigint) % {_S1})"
+_add("gen_composite_unique", lambda s, d: _frame(s, "order_items", "order_id", "product_id"), f"select id as row_id, (place0 + 1)::int as order_id, (({_digit1} * {_step1} + {_shift1}) % {_S1} + 1)::int as product_id from (select id, {_place0} as place0 {_from('order_items')})")
+
+
+def _wide_plan() -> GenerationPlan:
+    """A key of two parents of ten million rows each."""
+    from .schema import Column, DataType, ForeignKey, Table
+
+    schema = Schema(name="wide")
+    for n in ("a", "b"):
+        schema.add(Table(n, primary_key=("id",)).add(Column("id", DataType.parse("bigint"), False, auto_increment=True)))
+    pair = Table("pairs", primary_key=("a_id", "b_id"), foreign_keys=[ForeignKey((f"{n}_id",), n, ("id",)) for n in ("a", "b")])
+    schema.add(pair.add(Column("a_id", DataType.parse("bigint"), False)).add(Column("b_id", DataType.parse("bigint"), False)))
+    return build_plan(schema, SEED, 100, BASE, {"a": 10_000_000, "b": 10_000_000, "pairs": 20_000})
+
+
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    rows = Generator(_wide_plan()).frame(spark, "pairs")
+    tenth = lambda c: F.count_distinct(F.floor((F.col(c) - 1) / 1_000_000)).alias(f"{c}_tenths")
+    return rows.agg(tenth("a_id"), tenth("b_id"), F.count_distinct("a_id", "b_id").alias("n_pairs"))
+
+
+_add("gen_composite_spread", _spread, "select 10::bigint as a_id_tenths, 10::bigint as b_id_tenths, 20000::bigint as n_pairs")
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    """Thirteen tables, each of whose primary key is a key to the table before."""
+    from .schema import Column, DataType, ForeignKey, Table
+
+    schema = Schema(name="chain")
+    for i in range(13):
+        t = Table(f"t{i:02}", primary_key=("id",)).add(Column("id", DataType.parse("bigint"), False, auto_increment=i == 0))
+        t.foreign_keys = [ForeignKey(("id",), f"t{i - 1:02}", ("id",))] if i else []
+        schema.add(t)
+    g = Generator(build_plan(schema, SEED, 50, BASE))
+    return profile.union_all(g.frame(spark, t).agg(F.lit(t).alias("table_name"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high")) for t in g.plan.tables)
+
+
+_add("gen_key_chain", _chain, "select printf('t%02d', i) as table_name, 50::bigint as n_ids, 1::bigint as low, 50::bigint as high from range(13) r(i)")
 
 
 def _composite_check(spark: SparkSession, d: str) -> DataFrame:
@@ -471,12 +584,45 @@ _add("sink_insert_statements", _inserts, """select (n_nationkey // 10)::bigint a
 
 
 def _update_rows(spark: SparkSession, d: str) -> DataFrame:
-    g = Generator(circular_plan())
-    return sinks.update_statements(g.deferred_updates(spark), {"employees": ("id", 0), "departments": ("id", 0)})
+    return sinks.update_statements(spark, Generator(circular_plan())).select("table_name", "row_index", "statement")
 
 
 _add("sink_update_statements", _update_rows, f"""select table_name, row_index, 'UPDATE "' || table_name || '" SET "' || column_name || '" = ' || value || ' WHERE "id" = ' || (row_index + 1) || ';' as statement from ({_deferred_sql()})""")
 
+def _insert_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The script's lines of a table whose counted key is left to the database."""
+    return sinks.insert_lines(spark, Generator(shop_plan()), "order_items", auto=False).select(F.col("_id").alias("row_id"), F.length("line").alias("n"), F.substring("line", -1, 1).alias("ending"), F.col("line").startswith("INSERT INTO").alias("begins"), F.col("line").contains('("order_id", "product_id", "quantity", "unit_price") VALUES').alias("named"))
+
+
+def _line_sql() -> str:
+    price = f"round(0.01 + {_u('order_items', 'unit_price')} * {999.99 - 0.01!r}, 2)"
+    head = len('INSERT INTO "order_items" ("order_id", "product_id", "quantity", "unit_price") VALUES') + 1
+    n = ROWS["order_items"]
+    return f"""select r.id as row_id, (length('(' || order_id || ', ' || product_id || ', ' || {_int('order_items', 1, 101, 'quantity', 0, 'r.id')} || ', ' || {price.replace('(id)', '(r.id)')} || ');') + case when r.id % 100 = 0 then {head} else 0 end)::int as n,
+      case when r.id % 100 = 99 or r.id = {n - 1} then ';' else ',' end as ending, r.id % 100 = 0 as begins, r.id % 100 = 0 as named from range({n}) r(id) join ({_SQL['gen_composite_unique']}) k on k.row_id = r.id"""
+
+
+_add("sink_insert_lines", _insert_lines, _line_sql())
+
+
+def _preview(spark: SparkSession, d: str) -> DataFrame:
+    rows = sinks.preview(spark, Generator(shop_plan()), 5)["orders"]
+    return spark.createDataFrame([(r["id"], r["user_id"], r["status"]) for r in rows], "id string, user_id string, status string")
+
+
+_add("preview", _preview, f"select (id + 1)::varchar as id, ({_int('orders', 0, ROWS['users'], 'key:user_id')} + 1)::varchar as user_id, {_pick('orders', examples.shop().enums['order_status'], 'status')} as status from range(5) r(id)")
+
+
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    from . import config
+
+    c = config.parse_config('[generate]\nrows = 7\n[tables.users]\nrows = 3\n[columns."users.role"]\nvalues = ["a", "b"]\nweights = [1, 2]\n[graph]\nbreak_cycle_at = ["a.b"]\n')
+    rows = [("rows", str(c.rows)), ("users", str((c.tables | config.parse_table_rows("orders=9,bad"))["users"])), ("orders", str(config.parse_table_rows("orders=9,bad")["orders"])), ("break", ".".join(c.break_edges()[0])), ("warning", c.warnings(examples.shop())[0])]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+_add("settings", _settings, "select * from (values ('rows', '7'), ('users', '3'), ('orders', '9'), ('break', 'a.b'), ('warning', 'no column users.role')) v(name, value)")
+
 # --- AI merge ---------------------------------------------------------------------------------------------------------
 
 _SAID = [("users", "mystery", "Bio", 0.9), ("departments", "name", "Title", 0.4), ("users", "notes", "Bio", 0.99)]

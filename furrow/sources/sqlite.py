@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sqlite3
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,16 @@ class SqliteIntrospector:
         return table
 
 
+def runner(url: str) -> Callable[[str], list[tuple]]:
+    """Answers queries from a SQLite file."""
+
+    def run(query: str) -> list[tuple]:
+        with sqlite3.connect(f"file:{path_of(url)}?mode=ro", uri=True) as db:
+            return db.execute(query).fetchall()
+
+    return run
+
+
 def read_table(spark: SparkSession, url: str, table: str) -> DataFrame:
     """A table of a SQLite file; its rows pass through the driver, so this is for small files."""
     schema = SqliteIntrospector(url).introspect().tables[table]

@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-Dderby.stream.error.file=/dev/null")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

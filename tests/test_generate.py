@@ -3,6 +3,8 @@
 import datetime as dt
 import io
 import json
+import random
+import re
 import sqlite3
 
 import pytest
@@ -10,14 +12,14 @@ from pyspark.sql import functions as F
 
 from furrow import cli, examples
 from furrow.errors import CompositeUniqueExhausted, ForeignKeyResolution, UniqueExhausted, UnsupportedStrategy
-from furrow.functions.draws import Draws, permuted
+from furrow.functions.draws import Draws, combination, permuted, whole_part
 from furrow.operators import profile, sinks, validate
 from furrow.operators.generate import REGISTERED, Generator, register_provider, stream_rows
 from furrow.operators.providers import PROVIDERS, Context, bounds
 from furrow.plans.classify import MEANINGS
 from furrow.plans.plan import build_plan
-from furrow.schema import Column, DataType, Schema, Table, parse_check
-from furrow.sources.sqlite import SqliteIntrospector, read_table
+from furrow.schema import Column, DataType, ForeignKey, Schema, Table, parse_check
+from furrow.sources.sqlite import SqliteIntrospector, read_table, runner
 
 BASE = dt.datetime(2025, 1, 1)
 ROWS = {"users": 200, "categories": 30, "products": 60, "orders": 300, "order_items": 900, "stores": 50}
@@ -206,13 +208,178 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f/employees")).filter("manager_id is null").count() == 0
 
 
+def test_keys_of_deep_chains_and_circles(spark):
+    """Keys to keys: a chain of any length has values; a circle of keys ends where it began."""
+    schema = Schema()
+    for i in range(13):
+        t = Table(f"t{i}", primary_key=("id",)).add(Column("id", DataType.parse("uuid"), False))
+        t.foreign_keys = [ForeignKey(("id",), f"t{i - 1}", ("id",))] if i else []
+        schema.add(t)
+    g = Generator(build_plan(schema, 1, 50, BASE))
+    ids = [{r["id"] for r in g.frame(spark, f"t{i}").collect()} for i in range(13)]
+    assert all(x == ids[0] and len(x) == 50 and None not in x for x in ids)
+    circle = Schema()
+    for a, b in (("x", "y"), ("y", "x")):
+        t = Table(a, primary_key=("id",), foreign_keys=[ForeignKey(("id",), b, ("id",))]).add(Column("id", DataType.parse("uuid"), False))
+        circle.add(t)
+    g = Generator(build_plan(circle, 1, 5, BASE))
+    assert all(g.frame(spark, t, final=True).filter("id is null").count() == 0 for t in "xy")
+
+
+def test_combinations_spread(spark):
+    """Few rows of a large product use all of every size; rows are different; numbers beyond 2^53 are exact."""
+    rows, sizes = spark.range(20_000), [10_000_000, 10_000_000, 7]
+    d = Draws(3, "t", F.col("id"))
+    df = rows.select(*[combination(F.col("id"), sizes, k, 3, ["a", "b", "c"], d).alias(n) for k, n in enumerate("abc")]).cache()
+    assert df.distinct().count() == 20_000
+    for n, size in zip("ab", sizes, strict=False):
+        assert df.select(F.floor(F.col(n) / (size // 100))).distinct().count() == 100
+        assert df.filter(f"{n} < 0 or {n} >= {size}").count() == 0
+    small = spark.range(60).select(*[combination(F.col("id"), [3, 4, 5], k, 3, ["a", "b", "c"], d).alias(n) for k, n in enumerate("abc")])
+    assert small.distinct().count() == 60
+    big = spark.range(1).select(whole_part(F.lit(2**55 + 3), 3).alias("x")).collect()[0]["x"]
+    assert big == (2**55 + 3) // 3
+
+
+def test_folder_has_deferred_updates(spark, tmp_path):
+    g = Generator(build_plan(examples.circular(), 1, 250, BASE))
+    for kind in ("sql", "copy"):
+        sinks.write_folder(spark, g, str(tmp_path / kind), kind)
+        updates = [r["value"] for r in spark.read.text(str(tmp_path / kind / "_deferred_updates")).collect()]
+        assert len(updates) == 250 * len(g.plan.deferred)
+    # statements are whole in every file, and a database takes them
+    db = sqlite3.connect(":memory:")
+    db.executescript(DDL)
+    for table in g.plan.tables:
+        for path in sorted((tmp_path / "sql" / table).glob("part-*")):
+            db.executescript(path.read_text())
+    db.executescript("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "sql" / "_deferred_updates")).collect()))
+    assert db.execute("select count(*), count(manager_id), count(department_id) from employees").fetchone() == (250, 250, 250)
+    assert db.execute("pragma foreign_key_check").fetchall() == []
+
+
+def test_scripts_leave_counted_keys_to_the_database(spark):
+    g = Generator(build_plan(examples.circular(), 1, 230, BASE))
+    out = io.StringIO()
+    sinks.write_sql(spark, g, out, "sqlite")
+    assert 'INTO "employees" ("name", "email", "department_id", "manager_id")' in out.getvalue()
+    db = sqlite3.connect(":memory:")
+    db.executescript(DDL)
+    db.executescript(out.getvalue())
+    assert db.execute("select count(*), max(id), count(manager_id) from employees").fetchone() == (230, 230, 230)
+    assert db.execute("pragma foreign_key_check").fetchall() == []
+    out = io.StringIO()
+    sinks.write_copy(spark, g, out)
+    assert 'COPY "employees" ("name", "email", "department_id", "manager_id")' in out.getvalue()
+
+
+def test_updates_of_text_keys(spark):
+    """Rows are found by a key of any type, and literals follow the columns."""
+    t = Table("people", primary_key=("code",), foreign_keys=[ForeignKey(("boss",), "people", ("code",))])
+    t.add(Column("code", DataType.parse("varchar"), False)).add(Column("boss", DataType.parse("varchar"), True))
+    g = Generator(build_plan(Schema().add(t), 1, 20, BASE, overrides={("people", "code"): {"values": [f"{i:03}" for i in range(20)]}}))
+    rows = [r["statement"] for r in sinks.update_statements(spark, g).collect()]
+    assert len(rows) == 20
+    assert all(re.fullmatch(r"""UPDATE "people" SET "boss" = '\d{3}' WHERE "code" = '\d{3}';""", r) for r in rows)
+
+
+class FakeSession:
+    def __init__(self, fail_at=None):
+        self.seen, self.done, self.fail_at = [], None, fail_at
+
+    def run(self, statement):
+        self.seen.append(statement)
+        if len(self.seen) == self.fail_at:
+            raise RuntimeError("no")
+
+    def close(self, done):
+        self.done = done
+
+
+def test_direct_insert_statements(spark):
+    g = Generator(build_plan(examples.circular(), 1, 150, BASE))
+    for dialect, quote in (("postgresql", '"'), ("mysql", "`")):
+        fake = FakeSession()
+        assert sinks.insert_jdbc(spark, g, "", dialect, session=fake) == len(fake.seen)
+        heads = [s.split()[0] for s in fake.seen]
+        assert fake.done
+        assert heads.count("INSERT") == 4
+        assert all(s.startswith("INSERT") and s.endswith(";") for s in fake.seen if "VALUES" in s)
+        assert heads.index("UPDATE") > max(i for i, h in enumerate(heads) if h == "INSERT")
+        assert f"{quote}id{quote}" in next(s for s in fake.seen if s.startswith("INSERT"))
+        if dialect == "postgresql":
+            assert sum("setval(pg_get_serial_sequence(" in s for s in fake.seen) == 2
+        else:
+            assert (fake.seen[0], fake.seen[-1]) == ("SET FOREIGN_KEY_CHECKS = 0;", "SET FOREIGN_KEY_CHECKS = 1;")
+    broken = FakeSession(fail_at=3)
+    with pytest.raises(RuntimeError):
+        sinks.insert_jdbc(spark, g, "", session=broken)
+    assert broken.done is False
+
+
+def test_jdbc_into_a_database(spark):
+    """Derby comes with Spark: both ways into a schema with a circle of keys that the database checks."""
+    url = "jdbc:derby:memory:furrow;create=true"
+    made = [
+        'create table "departments" ("id" int primary key, "name" varchar(200) not null, "head_id" int, "budget" decimal(12,2))',
+        'create table "employees" ("id" int primary key, "name" varchar(200) not null, "email" varchar(200) unique, "department_id" int references "departments"("id"), "manager_id" int references "employees"("id"))',
+        'alter table "departments" add constraint "head" foreign key ("head_id") references "employees"("id")',
+    ]
+    schema = examples.circular()
+    schema.tables["employees"].columns["email"].nullable = False  # Derby takes no null text from Spark's writer
+    g = Generator(build_plan(schema, 1, 120, BASE))
+
+    class Derby(sinks.JdbcSession):
+        def run(self, statement):
+            if not statement.startswith("SELECT setval"):
+                super().run(statement)
+
+    def count():
+        return spark.read.jdbc(url, "(select count(*) as n, count(\"manager_id\") as m, count(\"department_id\") as d from \"employees\") t").collect()[0]
+
+    for way in ("insert", "write"):
+        session = Derby(spark, url)
+        for s in made:
+            session.run(s)
+        session.close(True)
+        if way == "insert":
+            sinks.insert_jdbc(spark, g, url, session=Derby(spark, url))
+        else:
+            sinks.write_jdbc(spark, g, url, session=Derby(spark, url))
+        assert tuple(count()) == (120, 120, 120)
+        session = Derby(spark, url)
+        for s in ('alter table "departments" drop constraint "head"', 'drop table "employees"', 'drop table "departments"'):
+            session.run(s)
+        session.close(True)
+
+
+def test_profiles_from_the_database(spark, tmp_path):
+    path = str(tmp_path / "p.db")
+    rng = random.Random(2)
+    with sqlite3.connect(path) as db:
+        db.executescript("create table parents (id integer primary key, kind text, email text, size real); create table kids (id integer primary key, parent_id integer references parents(id), n integer);")
+        db.executemany("insert into parents (kind, email, size) values (?, ?, ?)", [(rng.choice("abc") if i % 7 else None, f"e{i}", 1e6 + rng.random()) for i in range(50)])
+        db.executemany("insert into kids (parent_id, n) values (?, ?)", [(i % 50 + 1, rng.randint(0, 9)) for i in range(125)])
+    url = f"sqlite:{path}"
+    schema = SqliteIntrospector(url).introspect()
+    pushed = profile.sample_database(runner(url), schema, list(schema.tables))
+    read = profile.sample({t: read_table(spark, url, t) for t in schema.tables}, [("kids", "parent_id", "parents")], skip={t: ["id"] for t in schema.tables})
+    assert [p["table"] for p in pushed] == [p["table"] for p in read]
+    for a, b in zip(pushed, read, strict=True):
+        assert a["rows"] == b["rows"]
+        assert set(a["columns"]) == set(b["columns"])
+        for c, x in a["columns"].items():
+            for k, v in x.items():
+                assert v == (pytest.approx(b["columns"][c][k]) if k in ("min", "max", "mean", "stddev", "ratio") else b["columns"][c][k])
+
+
 DDL = """
 create table departments (id integer primary key, name text not null, head_id integer references employees(id), budget numeric(12,2) check (budget >= 0));
 create table employees (id integer primary key, name varchar(40) not null, email varchar(60) unique, department_id integer references departments(id), manager_id integer references employees(id));
 """
 
 
-def test_sqlite_end_to_end(spark, tmp_path):
+def test_sqlite_end_to_end(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as db:
         db.executescript(DDL)
@@ -246,6 +413,18 @@ def test_sqlite_end_to_end(spark, tmp_path):
     assert cli.main(["-C", folder, "sample", "--db", url, "--output", profiles], spark, io.StringIO()) == 0
     assert {p["table"] for p in profile.load_profiles(profiles)} == {"departments", "employees"}
     assert cli.main(["-C", folder, "check"], spark, io.StringIO()) == 2
+    # asking a model without a plug-in is an error, with one its answer counts and is kept
+    assert cli.main(["-C", folder, "generate", "--db", url, "--ai", "--model", "m"], spark, io.StringIO()) == 2
+    monkeypatch.setenv("FURROW_ASK", "json:no_such_function")
+    assert cli.main(["-C", folder, "generate", "--db", url, "--ai"], spark, io.StringIO()) == 2
+    (tmp_path / "furrow_plug.py").write_text("asked = []\ndef ask(prompt, model, timeout):\n    asked.append(model)\n    return '[]'\n")
+    monkeypatch.syspath_prepend(folder)
+    monkeypatch.setenv("FURROW_ASK", "furrow_plug:ask")
+    for _ in range(2):
+        assert cli.main(["-C", folder, "generate", "--db", url, "--rows", "3", "--ai", "--model", "m"], spark, io.StringIO()) == 0
+    import furrow_plug
+
+    assert furrow_plug.asked == ["m"]
 
 
 def test_stream(spark, tmp_path):
