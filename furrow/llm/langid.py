@@ -217,7 +217,8 @@ def train(labelled: DataFrame, docs_per_language: int = 150, path: str = f"{TOKE
     known = labelled.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     least = known.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_language)
     chosen = least.select(F.col("lang").alias("l"), F.col("h").alias("k")).distinct()
-    sample = known.join(chosen, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # at most docs_per_language pairs of 8 bytes and a label for each language
+    sample = known.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), _GAP)).alias("word")).filter(F.length("word") > 0)
     rows = words.groupBy("lang", "word").count().collect()
     pieces = vocabulary_pieces(path)
