@@ -29,7 +29,7 @@ from furrow.sources.parquet import STAR_FOREIGN, read_table  # noqa: E402
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 ROWS = int(os.environ.get("BENCH_ROWS", "2000000"))
-#: The registered queries and the command line draw by MD5; the faster hash is an option.
+#: Registered queries draw by MD5, which their SQL can repeat; the library's default, and the command line's, is the faster hash.
 EXACT = False
 TEN = [("email", "varchar"), ("first_name", "varchar"), ("last_name", "varchar"), ("price", "double"), ("created_at", "timestamp"), ("is_active", "boolean"), ("description", "text"), ("status", "varchar"), ("quantity", "integer"), ("url", "varchar")]
 TWENTY = ["id", "email", "first_name", "last_name", "password_hash", "created_at", "updated_at", "is_active", "age", "price", "description", "avatar_url", "phone", "city", "zip_code", "country", "status", "metadata", "slug", "quantity"]

@@ -114,8 +114,48 @@ GROUPS = {
 UNNAMED = ("DisplayName", "PostalCode", "Sentence", "HtmlContent", "MarkdownContent", "Amount", "Score")
 MEANINGS = tuple(dict.fromkeys([*(r[-1] for r in TABLE_RULES), *(r[-1] for r in RULES), *FALLBACK.values(), *UNNAMED, "AutoIncrement", "EnumValue", "Unknown"]))
 
-_TABLE = [(re.compile(a), re.compile(b), m) for a, b, m in TABLE_RULES]
-_GENERAL = [(re.compile(a), kinds, m) for a, kinds, m in RULES]
+
+def spelled(pattern: str) -> list[str] | None:
+    """All names that a pattern of whole names matches (alternatives, groups, classes and optional parts); None for an open one."""
+    if not (pattern.startswith("^") and pattern.endswith("$")):
+        return None
+    body = pattern[1:-1]
+
+    def options(at: int) -> tuple[list[str], int]:
+        done: list[str] = []
+        now = [""]
+        while at < len(body) and body[at] != ")":
+            if body[at] == "|":
+                done, now, at = done + now, [""], at + 1
+                continue
+            if body[at] == "(":
+                part, at = options(at + 1)
+                at += 1
+            elif body[at] == "[":
+                end = body.index("]", at)
+                part, at = list(body[at + 1 : end]), end + 1
+            else:
+                part, at = [body[at]], at + 1
+            if at < len(body) and body[at] == "?":
+                part, at = [*part, ""], at + 1
+            now = [a + b for a in now for b in part]
+        return done + now, at
+
+    return list(dict.fromkeys(options(0)[0]))
+
+
+#: Rules by the whole names that they match: (place, kinds or None, number of the table's pattern or -1, meaning), by place.
+_WHOLE: dict[str, list[tuple[int, tuple[str, ...] | None, int, str]]] = defaultdict(list)
+#: The other rules: (place, pattern, kinds or None, meaning).
+_OPEN: list[tuple[int, str, tuple[str, ...] | None, str]] = []
+for _at, (_pattern, _kinds, _table, _meaning) in enumerate([*((a, None, i, m) for i, (a, _, m) in enumerate(TABLE_RULES)), *((a, k and tuple(k), -1, m) for a, k, m in RULES)]):
+    if (_names := spelled(_pattern)) is None:
+        _OPEN.append((_at, _pattern, _kinds, _meaning))
+    else:
+        for _name in _names:
+            _WHOLE[_name].append((_at, _kinds, _table, _meaning))
+_TABLES = [re.compile(t) for _, t, _ in TABLE_RULES]
+_OPEN_TESTS = [(at, re.compile(p), kinds, m) for at, p, kinds, m in _OPEN]
 
 
 def is_personal(meaning: str) -> bool:
@@ -157,13 +197,13 @@ def classify_column(name: str, type_: DataType, table: str, auto_increment: bool
 def _by_rules(name: str, kind: str, table: str) -> str:
     """Names repeat over tables and schemas."""
     plain = normal_name(name)
-    for pattern, tables, meaning in _TABLE:
-        if pattern.search(plain) and tables.search(table):
-            return meaning
-    for pattern, kinds, meaning in _GENERAL:
+    first = next(((at, m) for at, kinds, t, m in _WHOLE.get(plain, ()) if (kinds is None or kind in kinds) and (t < 0 or _TABLES[t].search(table))), None)
+    for at, pattern, kinds, meaning in _OPEN_TESTS:
+        if first and first[0] < at:
+            break
         if (kinds is None or kind in kinds) and pattern.search(plain):
             return meaning
-    return FALLBACK.get(kind, "Unknown")
+    return first[1] if first else FALLBACK.get(kind, "Unknown")
 
 
 def classify_table(table: Table) -> dict[str, str]:
@@ -188,9 +228,13 @@ def detect_groups(meanings: dict[str, str]) -> dict[str, list[str]]:
     return {g: c for g, c in found.items() if len(c) > 1}
 
 
+def _plain_column(name: SparkColumn) -> SparkColumn:
+    return F.replace(F.lower(F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1_$2")), F.lit("-"), F.lit("_"))
+
+
 def meaning_column(name: SparkColumn, table: SparkColumn, kind: SparkColumn) -> SparkColumn:
-    """The rules over a frame of column names, for columns that are neither keys nor enums."""
-    plain = F.replace(F.lower(F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1_$2")), F.lit("-"), F.lit("_"))
+    """The rules over a frame of column names, one after the other, for columns that are neither keys nor enums."""
+    plain = _plain_column(name)
     out = None
     for pattern, tables, meaning in TABLE_RULES:
         test = plain.rlike(pattern) & table.rlike(tables)
@@ -204,12 +248,24 @@ def meaning_column(name: SparkColumn, table: SparkColumn, kind: SparkColumn) ->
 
 
 def classify_frame(columns: DataFrame) -> DataFrame:
-    """``columns`` (table_name, column_name, kind and any others) with their ``meaning``.
+    """``columns`` (table_name, column_name, kind and any others) with their ``meaning``; nothing is shuffled.
 
-    Names repeat over many schemas, so the rules run once for each distinct (table, column, kind).
+    Rules of whole names are a table of all these names (bounded by the rules), joined by broadcast; the few open rules
+    are patterns. Nulls match no rule.
     """
-    keys = ["table_name", "column_name", "kind"]
-    distinct = columns.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    named = distinct.withColumn("meaning", meaning_column(F.col("_column_name"), F.col("_table_name"), F.col("_kind")))
-    same = F.col("table_name").eqNullSafe(F.col("_table_name")) & F.col("column_name").eqNullSafe(F.col("_column_name")) & F.col("kind").eqNullSafe(F.col("_kind"))
-    return columns.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+    spark = columns.sparkSession
+    named = spark.createDataFrame([(n, [(at, list(kinds) if kinds else None, t, m) for at, kinds, t, m in rules]) for n, rules in _WHOLE.items()], "_name string, _rules array<struct<at:int,kinds:array<string>,t:int,meaning:string>>")
+    seen = columns.withColumn("_plain", _plain_column(F.col("column_name"))).join(F.broadcast(named), F.col("_plain") == F.col("_name"), "left")
+    tables = F.array(*[F.coalesce(F.col("table_name").rlike(t), F.lit(False)) for _, t, _ in TABLE_RULES])
+    seen = seen.withColumn("_tables", F.when(F.col("_rules").isNotNull(), tables))
+    fits = F.filter("_rules", lambda x: (x["kinds"].isNull() | F.array_contains(x["kinds"], F.col("kind"))) & ((x["t"] < 0) | F.get("_tables", x["t"])))
+    seen = seen.withColumn("_first", F.get(fits, F.lit(0)))
+    out = None
+    for at, pattern, kinds, meaning in _OPEN:
+        test = F.col("_plain").rlike(pattern)
+        out = F.when(F.col("_first.at") < at, F.col("_first.meaning")) if out is None else out.when(F.col("_first.at") < at, F.col("_first.meaning"))
+        out = out.when(test & F.col("kind").isin(*kinds) if kinds else test, meaning)
+    out = out.when(F.col("_first").isNotNull(), F.col("_first.meaning"))
+    for k, meaning in FALLBACK.items():
+        out = out.when(F.col("kind") == k, meaning)
+    return seen.withColumn("meaning", out.otherwise("Unknown")).drop("_plain", "_name", "_rules", "_tables", "_first")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .schema import Schema
 from .sources.parquet import STAR_FOREIGN, STAR_KEYS, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Draws by MD5, which the SQL can repeat.
+_exact = partial(Generator, exact=True)
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -325,7 +328,7 @@ def circular_plan() -> GenerationPlan:
 
 
 def _frame(spark: SparkSession, table: str, *columns: str, final: bool = False, plan: GenerationPlan | None = None) -> DataFrame:
-    df = Generator(plan or shop_plan()).frame(spark, table, keep_id=True, final=final)
+    df = _exact(plan or shop_plan()).frame(spark, table, keep_id=True, final=final)
     return df.select(F.col("_id").alias("row_id"), *columns)
 
 
@@ -396,7 +399,7 @@ def _wide_plan() -> GenerationPlan:
 
 
 def _spread(spark: SparkSession, d: str) -> DataFrame:
-    rows = Generator(_wide_plan()).frame(spark, "pairs")
+    rows = _exact(_wide_plan()).frame(spark, "pairs")
     tenth = lambda c: F.count_distinct(F.floor((F.col(c) - 1) / 1_000_000)).alias(f"{c}_tenths")
     return rows.agg(tenth("a_id"), tenth("b_id"), F.count_distinct("a_id", "b_id").alias("n_pairs"))
 
@@ -413,7 +416,7 @@ def _chain(spark: SparkSession, d: str) -> DataFrame:
         t = Table(f"t{i:02}", primary_key=("id",)).add(Column("id", DataType.parse("bigint"), False, auto_increment=i == 0))
         t.foreign_keys = [ForeignKey(("id",), f"t{i - 1:02}", ("id",))] if i else []
         schema.add(t)
-    g = Generator(build_plan(schema, SEED, 50, BASE))
+    g = _exact(build_plan(schema, SEED, 50, BASE))
     return profile.union_all(g.frame(spark, t).agg(F.lit(t).alias("table_name"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high")) for t in g.plan.tables)
 
 
@@ -421,14 +424,14 @@ _add("gen_key_chain", _chain, "select printf('t%02d', i) as table_name, 50::bigi
 
 
 def _composite_check(spark: SparkSession, d: str) -> DataFrame:
-    return validate.duplicates(Generator(shop_plan()).frame(spark, "order_items"), ["order_id", "product_id"], "order_items(order_id, product_id)")
+    return validate.duplicates(_exact(shop_plan()).frame(spark, "order_items"), ["order_id", "product_id"], "order_items(order_id, product_id)")
 
 
 _add("gen_composite_unique_check", _composite_check, f"select 'order_items(order_id, product_id)' as check_name, {ROWS['order_items']}::bigint as checked_rows, 0::bigint as violations")
 
 
 def _gen_orphans(spark: SparkSession, d: str) -> DataFrame:
-    g, schema = Generator(shop_plan()), examples.shop()
+    g, schema = _exact(shop_plan()), examples.shop()
     frames = g.frames(spark, final=True)
     return profile.union_all(validate.orphans(frames[t.name], list(k.columns), frames[k.parent], list(k.parent_columns), f"{t.name}.{k.columns[0]}") for t in schema.tables.values() for k in t.foreign_keys)
 
@@ -469,7 +472,7 @@ _cu = lambda t, n, high: f"(floor({_u(t, n)} * {high}))::bigint + 1"  # noqa: E7
 
 
 def _updates(spark: SparkSession, d: str) -> DataFrame:
-    return Generator(circular_plan()).deferred_updates(spark)
+    return _exact(circular_plan()).deferred_updates(spark)
 
 
 def _deferred_sql() -> str:
@@ -481,7 +484,7 @@ _add("gen_deferred_updates", _updates, _deferred_sql())
 
 
 def _after(spark: SparkSession, d: str) -> DataFrame:
-    g = Generator(circular_plan())
+    g = _exact(circular_plan())
     rows = g.frame(spark, "employees", keep_id=True)
     return sinks.apply_updates(rows, g.deferred_updates(spark), "employees", "manager_id").select(F.col("_id").alias("row_id"), "id", "manager_id")
 
@@ -502,7 +505,7 @@ def _provider_schema() -> tuple[Schema, dict]:
 
 def _providers(spark: SparkSession, d: str) -> DataFrame:
     schema, meanings = _provider_schema()
-    df = Generator(build_plan(schema, SEED, 1000, BASE, meanings=meanings)).frame(spark, "things", keep_id=True)
+    df = _exact(build_plan(schema, SEED, 1000, BASE, meanings=meanings)).frame(spark, "things", keep_id=True)
     return df.select(F.col("_id").alias("row_id"), *[F.col(m.lower()).cast("string").alias(m.lower()) if k == "date" else F.col(m.lower()) for m, k in _PROVIDER_TABLE])
 
 
@@ -544,7 +547,7 @@ def _from_profile(spark: SparkSession, d: str) -> DataFrame:
         orders.add(Column(c, DataType.parse(t), False, auto_increment=auto))
     schema.add(orders)
     plan = build_plan(schema, SEED, 1000, BASE, {"customer": 1000}, profiles=found)
-    return Generator(plan).frame(spark, "orders").withColumn("o_totalprice", F.round("o_totalprice", 4))
+    return _exact(plan).frame(spark, "orders").withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
 _add(
@@ -584,14 +587,14 @@ _add("sink_insert_statements", _inserts, """select (n_nationkey // 10)::bigint a
 
 
 def _update_rows(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.update_statements(spark, Generator(circular_plan())).select("table_name", "row_index", "statement")
+    return sinks.update_statements(spark, _exact(circular_plan())).select("table_name", "row_index", "statement")
 
 
 _add("sink_update_statements", _update_rows, f"""select table_name, row_index, 'UPDATE "' || table_name || '" SET "' || column_name || '" = ' || value || ' WHERE "id" = ' || (row_index + 1) || ';' as statement from ({_deferred_sql()})""")
 
 def _insert_lines(spark: SparkSession, d: str) -> DataFrame:
     """The script's lines of a table whose counted key is left to the database."""
-    return sinks.insert_lines(spark, Generator(shop_plan()), "order_items", auto=False).select(F.col("_id").alias("row_id"), F.length("line").alias("n"), F.substring("line", -1, 1).alias("ending"), F.col("line").startswith("INSERT INTO").alias("begins"), F.col("line").contains('("order_id", "product_id", "quantity", "unit_price") VALUES').alias("named"))
+    return sinks.insert_lines(spark, _exact(shop_plan()), "order_items", auto=False).select(F.col("_id").alias("row_id"), F.length("line").alias("n"), F.substring("line", -1, 1).alias("ending"), F.col("line").startswith("INSERT INTO").alias("begins"), F.col("line").contains('("order_id", "product_id", "quantity", "unit_price") VALUES').alias("named"))
 
 
 def _line_sql() -> str:
@@ -606,7 +609,7 @@ _add("sink_insert_lines", _insert_lines, _line_sql())
 
 
 def _preview(spark: SparkSession, d: str) -> DataFrame:
-    rows = sinks.preview(spark, Generator(shop_plan()), 5)["orders"]
+    rows = sinks.preview(spark, _exact(shop_plan()), 5)["orders"]
     return spark.createDataFrame([(r["id"], r["user_id"], r["status"]) for r in rows], "id string, user_id string, status string")
 
 

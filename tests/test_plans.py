@@ -217,3 +217,29 @@ def test_catalog_rows():
     assert (key.columns, key.parent_columns, key.on_delete, key.deferrable) == (("p", "q"), ("x", "y"), "CASCADE", True)
     assert s.tables["b"].columns["mood"].enum_values == ["ok", "bad"]
     assert s.tables["b"].checks[0].value == 3
+
+
+def test_names_of_rules_are_those_of_their_patterns():
+    """Whole-name rules as tables agree with the patterns, one after the other, on their names and on near misses."""
+    import re
+
+    from furrow.plans import classify
+
+    def by_patterns(name, kind, table):
+        plain = classify.normal_name(name)
+        for pattern, tables, meaning in classify.TABLE_RULES:
+            if re.search(pattern, plain) and re.search(tables, table):
+                return meaning
+        for pattern, kinds, meaning in classify.RULES:
+            if (kinds is None or kind in kinds) and re.search(pattern, plain):
+                return meaning
+        return classify.FALLBACK.get(kind, "Unknown")
+
+    names = list(classify._WHOLE)
+    assert len(names) > 300
+    for n in [*names, *(f"{n}x" for n in names), *(f"is_{n}" for n in names), *(f"{n}_id" for n in names)]:
+        for kind in ("text", "integer", "double", "boolean"):
+            for table in ("t", "users", "Vendors"):
+                assert classify._by_rules(n, kind, table) == by_patterns(n, kind, table), (n, kind, table)
+    assert classify.spelled("^a(b|c)?[12]$") == ["ab1", "ab2", "ac1", "ac2", "a1", "a2"]
+    assert classify.spelled("^open") is None
