@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 from . import common
 
 #: Questions about one key and list that are put in order in one task, about.
-PIECE = 100_000
+PIECE = 2_000
+#: At most so many keys and lists are parted, which bounds the table of them that is broadcast; with very many questions pieces are larger.
+MOST_PARTED = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -64,15 +66,17 @@ def active_at(asked: DataFrame, valid: DataFrame, piece: int = PIECE) -> DataFra
     ``valid``: list, key, verdict, valid_from, valid_to, where intervals of a list and key don't overlap.
     """
     more = [c for c in asked.columns if c not in ("list", "key", "at")]
-    many = asked.groupBy(F.col("list").alias("l"), F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces")).filter("pieces > 1")
-    dealt = lambda df: df.join(many, (F.col("list") == F.col("l")) & (F.col("key") == F.col("k")), "left").drop("l", "k").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    counts = common.materialise(asked.groupBy(F.col("list").alias("l"), F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")), "url-counts")
+    piece = max(piece, (counts.agg(F.sum("n")).head()[0] or 0) // MOST_PARTED)
+    many = counts.select("l", "k", F.ceil(F.col("n") / piece).cast("int").alias("pieces")).filter("pieces > 1")
+    dealt = lambda df: df.join(F.broadcast(many), (F.col("list") == F.col("l")) & (F.col("key") == F.col("k")), "left").drop("l", "k").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     span = F.struct("valid_from", "valid_to", "verdict")
     no_span = F.lit(None).cast("struct<" + ",".join(f"{c}:{valid.schema[c].dataType.simpleString()}" for c in ("valid_from", "valid_to", "verdict")) + ">")
     starts = dealt(valid).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     starts = starts.select("list", "key", "piece", F.col("valid_from").alias("at"), F.lit(0).alias("side"), span.alias("span"), *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in more])
     questions = dealt(asked).select("list", "key", F.pmod(F.xxhash64("at", *more), F.col("pieces")).cast("int").alias("piece"), "at", F.lit(1).alias("side"), no_span.alias("span"), *more)
     upto = Window.partitionBy("list", "key", "piece").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    met = starts.unionByName(questions).withColumn("span", F.last("span", ignorenulls=True).over(upto)).filter("side = 1 and span is not null")
+    met = starts.unionByName(questions).repartition("list", "key", "piece").withColumn("span", F.last("span", ignorenulls=True).over(upto)).filter("side = 1 and span is not null")
     return met.filter(F.col("span.valid_to").isNull() | (F.col("at") < F.col("span.valid_to"))).select(*asked.columns, "span.valid_from", "span.verdict")
 
 
@@ -91,7 +95,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", a
     keys = moments.withColumn("k", F.explode(_keys(F.col("host"), F.col("segment")))).select("host", "segment", "at", "k.key", "k.spec")
     valid = common.materialise(validity_intervals(entries), "url-intervals")
     lists = valid.select("list", F.col("key").alias("k")).distinct()
-    asked = keys.join(lists, F.col("key") == F.col("k")).drop("k")
+    asked = common.materialise(keys.join(lists, F.col("key") == F.col("k")).drop("k"), "url-asked")
     best = F.max(F.struct("spec", "valid_from", "list", "key", "verdict"))
     h2, s2, t2, n2, b2 = common.fresh(seen, "_host2", "_segment2", "_at2", "_n", "_best")
     told = active_at(asked, valid, piece).groupBy(F.col("host").alias(h2), F.col("segment").alias(s2), F.col("at").alias(t2)).agg(F.count(F.lit(1)).alias(n2), best.alias(b2))
