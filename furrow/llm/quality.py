@@ -1,10 +1,10 @@
 """Quality rules with robust multivariate outliers (operator 1); DataFrame functions only.
 
-Six statistics of a text are transformed and rounded to whole steps of 1/``STEPS``. For every language and source the
+Five statistics of a text are transformed and rounded to whole steps of 1/``STEPS``. For every language and source the
 minimum covariance determinant estimate is found by concentration steps from two fixed starts (medians with absolute
 deviations, and means with variances): each step measures all documents' distances, keeps the nearest ``KEEP`` of a group
-and re-estimates centre and scatter from them. The start with the smaller determinant wins; one reweighting step
-follows. Documents beyond a chi-square bound of the squared distance are rejected.
+and re-estimates centre and scatter from them, until no determinant changes by a thousandth or more. The start with the
+smaller determinant wins; one reweighting step follows. Documents beyond a chi-square bound of the squared distance are rejected.
 
 Sums are of whole numbers and quantiles come from histograms of distances, so results don't depend on partitioning.
 A group's estimate is one row; documents are only summed and never gathered.
@@ -30,6 +30,8 @@ LEAST_GROUP = 40
 #: Upper tail of the chi-square distribution beyond which a document is rejected.
 TAIL = 1e-6
 DIST_BINS_PER_OCTAVE = 32
+#: Concentration steps end when no group's log determinant changes by more than this.
+SETTLED = 1e-3
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -194,7 +196,7 @@ def _median_start(rows: DataFrame, prefix: str) -> DataFrame:
     return out.withColumn(f"{prefix}_det", F.lit(0.0)).select("grp", *_names(prefix))
 
 
-def judge(stats: DataFrame, tail: float = TAIL, rounds: int = 3, keep: float = KEEP, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(stats: DataFrame, tail: float = TAIL, rounds: int = 12, keep: float = KEEP, least_group: int = LEAST_GROUP) -> DataFrame:
     """``stats`` with base_failed, distance2 and kept.
 
     Estimates use documents that the base rules pass. A language and source with fewer than ``least_group`` of those is
@@ -230,7 +232,10 @@ def judge(stats: DataFrame, tail: float = TAIL, rounds: int = 3, keep: float = K
         nearest = sums.withColumn("_before", before).withColumn("_all", F.sum("_n").over(near)).filter(F.col("_before") < F.col("_all") * keep)
         moments = _estimate(nearest.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in _sum_names()]), ["grp", "start"], "e", factor)
         sides = moments.groupBy("grp").agg(*[F.max(F.when(F.col("start") == s, F.col(c))).alias(s + c[1:]) for s in ("a", "b") for c in _names("e")])
-        estimates = common.materialise(sides, f"quality-step-{k}")
+        before, estimates = estimates.select(F.col("grp").alias("g"), F.col("a_det").alias("a"), F.col("b_det").alias("b")), common.materialise(sides, f"quality-step-{k}")
+        change = F.max(F.greatest(F.abs(F.col("a_det") - F.col("a")), F.abs(F.col("b_det") - F.col("b"))))
+        if k and (estimates.join(before, F.col("grp") == F.col("g")).agg(change).head()[0] or 0.0) < SETTLED:
+            break
     first = F.col("a_det") <= F.col("b_det")
     estimates = estimates.select("grp", *[F.when(first, F.col("a" + c[1:])).otherwise(F.col("b" + c[1:])).alias(c) for c in _names("e")])
     near = good.join(estimates, "grp").filter(_squared_distance("e") <= chi2_quantile(0.975, p))

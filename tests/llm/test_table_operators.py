@@ -68,15 +68,19 @@ def plain_mcd(x, floors, keep, rounds):
     med = lower_median(x)
     mad = lower_median(np.abs(x - med))
     starts = [(med.astype(float), np.diag((1.4826 * mad) ** 2) + floor), (x.mean(axis=0), np.cov(x.T, bias=True) + floor)]
-    out = []
-    for m, cov in starts:
-        for _ in range(rounds):
+    state, out = starts, None
+    for k in range(rounds):
+        before, out = out, []
+        for m, cov in state:
             bins = np.floor(np.log2(distance(m, cov) + 1e-3) * quality.DIST_BINS_PER_OCTAVE)
             values, counts = np.unique(bins, return_counts=True)
-            before = np.cumsum(counts) - counts
-            near = x[bins <= values[before < len(x) * keep].max()]
+            first = np.cumsum(counts) - counts
+            near = x[bins <= values[first < len(x) * keep].max()]
             m, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency(keep, p) + floor
-        out.append((np.linalg.slogdet(cov)[1], m, cov))
+            out.append((np.linalg.slogdet(cov)[1], m, cov))
+        state = [(m, cov) for _, m, cov in out]
+        if k and max(abs(a[0] - b[0]) for a, b in zip(before, out, strict=True)) < quality.SETTLED:
+            break
     _, m, cov = min(out, key=lambda o: o[0])
     near = x[distance(m, cov) <= quality.chi2_quantile(0.975, p)]
     m, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency(0.975, p) + floor
@@ -93,12 +97,47 @@ def test_mcd_against_arrays(spark):
     stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     got = {r["doc_id"]: r for r in quality.judge(stats).collect()}
     z = {r["doc_id"]: [r[s] for s in quality.STATS] for r in quality._vector(stats).collect()}
-    want = plain_mcd(np.array([z[i] for i in range(400)], float), list(quality.FLOORS.values()), quality.KEEP, 3)
+    want = plain_mcd(np.array([z[i] for i in range(400)], float), list(quality.FLOORS.values()), quality.KEEP, 12)
     for i in range(400):
         assert got[i]["distance2"] == pytest.approx(want[i], rel=1e-4, abs=1e-4)
         assert got[i]["kept"] == (i % 10 != 0)
 
 
+def test_concentration_reaches_the_least_determinant(spark):
+    """No other start of many, drawn at random, ends with a smaller determinant of the kept part's scatter."""
+    rng = np.random.default_rng(7)
+    n = 300
+    x = np.round(rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 40).astype(int)
+    x[:60] += np.array([500, -400, 0, 300, 0])
+    rows = [(i, "en", "s", 100, 500, 0, 0, 0, *map(int, r)) for i, r in enumerate(x)]
+    floor = np.diag([(f * quality.STEPS) ** 2 for f in quality.FLOORS.values()])
+    keep = int(n * quality.KEEP)
+
+    def concentrated(chosen):
+        for _ in range(50):
+            part = x[chosen]
+            d = x - part.mean(axis=0)
+            far = np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(part.T, bias=True) + floor), d)
+            again = np.argsort(far, kind="stable")[:keep]
+            if set(again) == set(chosen):
+                break
+            chosen = again
+        return np.linalg.slogdet(np.cov(x[chosen].T, bias=True) + floor)[1], set(chosen.tolist())
+
+    best = min((concentrated(rng.choice(n, 6, replace=False)) for _ in range(200)), key=lambda c: c[0])
+    stats = spark.createDataFrame([r[:8] for r in rows], "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    made = spark.createDataFrame([(r[0], *r[8:]) for r in rows], "d long, " + ", ".join(f"{s} long" for s in quality.STATS))
+    old = quality._vector
+    quality._vector = lambda df: df.join(made, df["doc_id"] == made["d"]).drop("d")
+    try:
+        got = {r["doc_id"]: r["distance2"] for r in quality.judge(stats).collect()}
+    finally:
+        quality._vector = old
+    nearest = set(sorted(got, key=got.get)[:keep])
+    assert np.linalg.slogdet(np.cov(x[sorted(nearest)].T, bias=True) + floor)[1] <= best[0] + 0.1
+    assert all(got[i] > quality.chi2_quantile(1 - quality.TAIL, 5) for i in range(60))
+
+
 def test_chi_square():
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) == pytest.approx(0.975)
     assert quality.chi2_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
