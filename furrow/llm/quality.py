@@ -3,7 +3,7 @@
 Five statistics of a text are transformed and rounded to whole steps of 1/``STEPS``. For every language and source the
 minimum covariance determinant estimate is found by concentration steps from two fixed starts (medians with absolute
 deviations, and means with variances): each step measures all documents' distances, keeps the nearest ``KEEP`` of a group
-and re-estimates centre and scatter from them, until no determinant changes by a thousandth or more. The start with the
+and re-estimates centre and scatter from them, until no determinant changes by a hundredth or more. The start with the
 smaller determinant wins; one reweighting step follows. Documents beyond a chi-square bound of the squared distance are rejected.
 
 Sums are of whole numbers and quantiles come from histograms of distances, so results don't depend on partitioning.
@@ -31,7 +31,7 @@ LEAST_GROUP = 40
 TAIL = 1e-6
 DIST_BINS_PER_OCTAVE = 32
 #: Concentration steps end when no group's log determinant changes by more than this.
-SETTLED = 1e-3
+SETTLED = 1e-2
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -196,7 +196,7 @@ def _median_start(rows: DataFrame, prefix: str) -> DataFrame:
     return out.withColumn(f"{prefix}_det", F.lit(0.0)).select("grp", *_names(prefix))
 
 
-def judge(stats: DataFrame, tail: float = TAIL, rounds: int = 12, keep: float = KEEP, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(stats: DataFrame, tail: float = TAIL, rounds: int = 7, keep: float = KEEP, least_group: int = LEAST_GROUP) -> DataFrame:
     """``stats`` with base_failed, distance2 and kept.
 
     Estimates use documents that the base rules pass. A language and source with fewer than ``least_group`` of those is

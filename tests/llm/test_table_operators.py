@@ -97,7 +97,7 @@ def test_mcd_against_arrays(spark):
     stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     got = {r["doc_id"]: r for r in quality.judge(stats).collect()}
     z = {r["doc_id"]: [r[s] for s in quality.STATS] for r in quality._vector(stats).collect()}
-    want = plain_mcd(np.array([z[i] for i in range(400)], float), list(quality.FLOORS.values()), quality.KEEP, 12)
+    want = plain_mcd(np.array([z[i] for i in range(400)], float), list(quality.FLOORS.values()), quality.KEEP, 7)
     for i in range(400):
         assert got[i]["distance2"] == pytest.approx(want[i], rel=1e-4, abs=1e-4)
         assert got[i]["kept"] == (i % 10 != 0)
