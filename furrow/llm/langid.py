@@ -212,10 +212,11 @@ def train(labelled: DataFrame, docs_per_language: int = 150, path: str = f"{TOKE
     The documents are those of smallest hash of text and seed, taken whole, copies once; Spark counts their words, of any
     length, and the counts are all that reaches the driver. Rows with a null or empty text or a null
     lang are not learned from; without any row the model has no language. The least hashes are found without the
-    texts, so what is shuffled does not grow with the texts of every input split.
+    texts: what is shuffled is a label and a hash of each different text, never the texts of every input split.
     """
     known = labelled.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    least = known.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_language)
+    # copies are summed in the map tasks, so that a text repeated very often takes one place and sends one row a task
+    least = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies")).select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_language)
     chosen = least.select(F.col("lang").alias("l"), F.col("h").alias("k")).distinct()
     # at most docs_per_language pairs of 8 bytes and a label for each language
     sample = known.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))

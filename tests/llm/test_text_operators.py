@@ -246,6 +246,16 @@ def test_languages_without_spaces(spark):
     assert np.isfinite(long).all() and long[[i for i, p in enumerate(model.pieces) if set(p) <= {"a", "b"}]].sum() > 0.9
 
 
+def test_copies_are_learned_once(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(words) for _ in range(12)), lang) for lang, words in (("en", ["the", "house", "stands", "there"]), ("fr", ["la", "maison", "est", "grande"])) for _ in range(30)]
+    rows = list(dict.fromkeys(rows))
+    copies = [r for i, r in enumerate(rows) for _ in range(1 + 7 * (i % 5))]
+    models = [langid.train(spark.createDataFrame(r, "text string, lang string"), docs_per_language=6) for r in (rows, copies)]
+    assert models[0].languages == models[1].languages == ["en", "fr"]
+    assert np.array_equal(models[0].probabilities, models[1].probabilities)
+
+
 def test_all_pieces_of_the_vocabulary():
     pieces = set(langid.vocabulary_pieces(f"{langid.TOKENIZERS}/piece_bpe_32k.model"))
     assert langid.MARK in pieces
