@@ -41,7 +41,9 @@ THRESHOLD = 0.45
 SCRAP = 4
 
 #: A literal's placeholders, which are nobody's secret.
-_PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change.?me|your.*|example.*|todo|none|null|true|false|undefined|redacted)$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change.?me|your.*|example.*|todo|none|null|true|false|undefined|redacted)$")
+#: Placeholders of one character again and again, and how often it must stand there.
+_RUNS = {"x": 3, "*": 1, ".": 3}
 
 #: Sensitive stems; a text without any can't hold a sensitive name, so the lexer may pass it by.
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "salt", "cookie", "connection")
@@ -59,8 +61,10 @@ _LEADING = re.compile(r"[^A-Za-z_]*")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 #: A formatted string that is one field has no literal.
 _FIELD = re.compile(r"\{[^{}]*\}\Z")
-#: Scoring looks at so many characters of a joined value; it says nothing new beyond far fewer.
-_SCORED = 1 << 10
+#: Characters kept of both ends of a value; no placeholder but one with ``.*`` is as long.
+_ENDS = 16
+#: Numbers of characters keep at least so many binary digits, far more than a double.
+_DIGITS = 256
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -71,15 +75,60 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *pairs]), default=0.0)
 
 
+class Value:
+    """What scoring needs of a value of any length: how often each character stands in it, and both ends.
+
+    Counts are in units of two to the ``shift``, so that constants doubled again and again stay small numbers.
+    """
+
+    __slots__ = ("counts", "shift", "head", "tail")
+
+    def __init__(self, counts: dict[str, int], shift: int, head: str, tail: str) -> None:
+        self.counts, self.shift, self.head, self.tail = counts, shift, head, tail
+
+    @classmethod
+    def of(cls, text: str) -> Value:
+        return cls(Counter(text), 0, text[:_ENDS], text[-_ENDS:])
+
+    @classmethod
+    def join(cls, values: list[Value]) -> Value:
+        shift = max((v.shift for v in values), default=0)
+        counts: dict[str, int] = {}
+        for v in values:
+            for c, n in v.counts.items():
+                counts[c] = counts.get(c, 0) + (n >> (shift - v.shift))
+        if (more := sum(counts.values()).bit_length() - 2 * _DIGITS) > 0:
+            more += _DIGITS
+            counts, shift = {c: n >> more for c, n in counts.items()}, shift + more
+        return cls(counts, shift, "".join(v.head for v in values)[:_ENDS], "".join(v.tail for v in values)[-_ENDS:])
+
+    def placeholder(self) -> bool:
+        """Whether the whole value is one; a line end is allowed as its last character only."""
+        n, ends = sum(self.counts.values()), self.tail.endswith("\n")
+        kinds = {c.lower() for c in self.counts if c != "\n"}
+        if "\n" in self.counts and (self.shift or self.counts["\n"] > ends):
+            return False
+        if len(kinds) == 1 and (c := next(iter(kinds))) in _RUNS:
+            return bool(self.shift) or n - ends >= _RUNS[c]
+        whole = self.head if not self.shift and n <= _ENDS else self.head + self.tail
+        return bool(_PLACEHOLDER.match(whole))
+
+    def score(self) -> float:
+        """From 0 to 1: length, entropy of characters and mix of kinds."""
+        n = sum(self.counts.values())
+        if (n < 6 and not self.shift) or self.placeholder():
+            return 0.0
+        shares = [c / n for c in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        chars = "".join(self.counts)
+        kinds = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        length = 1.0 if self.shift else min(n, 16) / 16
+        return length * min(1.0, entropy / 3.0) * (0.4 + 0.2 * min(3, kinds))
+
+
 def literal_score(value: str) -> float:
-    """From 0 to 1: length, entropy of characters and mix of kinds."""
-    n = len(value)
-    if n < 6 or _PLACEHOLDER.match(value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, n / 16) * min(1.0, entropy / 3.0) * (0.4 + 0.2 * min(3, kinds))
+    """The score of a literal that stands in one piece; all of its characters count."""
+    return Value.of(value).score()
 
 
 Piece = tuple[int, int, str, bool]
@@ -176,8 +225,9 @@ class _Constants:
         self.names = [name for name, _, _ in pairs]
         self.at: dict[str, tuple[list[int], list[int]]] = {}
         self.pieces: list[list[tuple[Piece, int]]] = []
-        #: each pair's value as text, and the pair that a value of one name leads to in the end
-        self.text: list[str] = []
+        #: what a name's last value is made of, each joined value's score, and the pair that a value of one name leads to in the end
+        last: dict[str, Value] = {}
+        self.score: list[float] = []
         self.root: list[int] = []
         for i, (name, start, pieces) in enumerate(pairs):
             told = [(p, self.behind(p)) for q in pieces for p in self._parts(q)]
@@ -185,7 +235,10 @@ class _Constants:
             alone = len(told) == 1
             self.root.append(self.root[told[0][1]] if alone and told[0][1] >= 0 else i)
             # in a concatenation, a name that stands for nothing known adds nothing
-            self.text.append("".join(self.text[k] if k >= 0 else p[2][:_SCORED] if alone or not p[3] else "" for p, k in told[:_SCORED])[:_SCORED])
+            parts = [last[p[2]] if k >= 0 else Value.of(p[2]) for p, k in told if k >= 0 or alone or not p[3]]
+            value = parts[0] if alone else Value.join(parts)
+            last[name] = value
+            self.score.append(0.0 if alone else value.score())
             places, numbers = self.at.setdefault(name, ([], []))
             places.append(start)
             numbers.append(i)
@@ -224,7 +277,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         pieces = known.pieces[known.root[i]]
         literals = [p for p, k in pieces if k < 0 and (len(pieces) == 1 or not p[3])]
         mine = {p for p in literals if weights[name] * literal_score(p[2]) >= THRESHOLD}
-        if len(pieces) > 1 and weights[name] * literal_score(known.text[known.root[i]]) >= THRESHOLD:
+        if len(pieces) > 1 and weights[name] * known.score[known.root[i]] >= THRESHOLD:
             reached |= {k for _, k in pieces if k >= 0}
             # a scrap beside a piece that is a secret by itself is none
             mine |= {p for p in literals if not mine or len(p[2]) >= SCRAP}

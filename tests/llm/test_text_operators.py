@@ -323,6 +323,37 @@ def test_lexer_joins_values(text, want):
     assert [text[s:e] for s, e in secretscan.lexed_spans(text)] == want
 
 
+def plain_score(value):
+    """Length, entropy and kinds of a value that is at hand as a whole."""
+    n = len(value)
+    if n < 6 or re.match(r"(?i)^(?:x{3,}|\*+|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change.?me|your.*|example.*|todo|none|null|true|false|undefined|redacted)$", value):
+        return 0.0
+    shares = [value.count(c) / n for c in set(value)]
+    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, n / 16) * min(1.0, -sum(p * np.log2(p) for p in shares) / 3.0) * (0.4 + 0.2 * min(3, kinds))
+
+
+def test_scores_of_joined_values_against_whole_texts():
+    rng = random.Random(4)
+    parts = ["xxx", "X", "***", "...", "<a", ">", "${", "}", "{{", "}}", "%(", ")s", "changeme", "your", "example", "todo", "\n", "Abc1", "9", "-", "aB3dE5fG7", "q" * 40, "x" * 40, "." * 40]
+    for _ in range(5000):
+        pieces = [rng.choice(parts) for _ in range(rng.randint(1, 10))]
+        want = plain_score("".join(pieces))
+        assert secretscan.literal_score("".join(pieces)) == pytest.approx(want, abs=1e-12), pieces
+        assert secretscan.Value.join([secretscan.Value.of(p) for p in pieces]).score() == pytest.approx(want, abs=1e-12), pieces
+
+
+def test_whole_values_are_scored():
+    late = "".join(chr(97 + i % 26) + str(i % 10) + chr(65 + i % 26) for i in range(1000))
+    text = f'my_secret = "{"a" * 1100}" + "{late}"'
+    assert late in [text[s:e] for s, e in secretscan.lexed_spans(text)]
+    many = "my_secret = " + " + ".join(['"aa"'] * 1100 + [f'"{late[i : i + 3]}"' for i in range(0, 3000, 3)])
+    assert len(secretscan.lexed_spans(many)) == 2100
+    # doubled again and again, a value is far longer than any text could be
+    doubled = 'a = "Zx9Yw8Vu7"\n' + "a = a + a\n" * 5000 + 'secret_key = a + "tS6Rq5Po4"\n'
+    assert [doubled[s:e] for s, e in secretscan.lexed_spans(doubled)] == ["Zx9Yw8Vu7", "tS6Rq5Po4"]
+
+
 def plain_environment(lines, weights):
     """Values that a sensitive name takes, line by line, with an environment that only knows what stands above."""
     known, told = {}, set()
